@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weftgraph.session import _remove, shared_folder, ship_package
 
@@ -60,6 +61,11 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def widened(schema: StructType, ddl: str) -> StructType:
+    """The schema with more fields at its end."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def regrouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at least so many (but for the last)."""
     held: list[pa.RecordBatch] = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import packing, simhash, suffixes
+from weftgraph.llm import langid, packing, simhash, suffixes, toxicity
 from weftgraph.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, by a lexicon learned from labels outside the held-out fifth."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeats of at least 100 bytes take from every document."""
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
@@ -24,5 +29,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_suffix_dedup, op4_packing)}
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out()
+    found = langid.identify(docs, ~held & F.col("doc_id").isNotNull())
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_suffix_dedup, op4_packing, op5_language)}
 SQL: dict[str, str] = {}
