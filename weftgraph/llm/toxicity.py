@@ -47,8 +47,10 @@ def features(text: str) -> set[str]:
 
 
 def _sketch(text: str) -> int:
-    """The smallest hash of a word: near copies mostly share it."""
-    return min((xxhash.xxh64_intdigest(w, 1) for w in set(folded(text).split())), default=0) >> 1
+    """The smallest hash of three words in a row: near copies mostly share it."""
+    words = folded(text).split()
+    rows = {" ".join(x) for x in zip(words, words[1:], words[2:])} or {" ".join(words)}
+    return min(xxhash.xxh64_intdigest(w, 1) for w in rows) >> 1
 
 
 class Matcher:
