@@ -20,7 +20,7 @@ MOST_LISTS = 4096
 #: Parts a residual is quantised in, and codewords of each.
 PARTS, WORDS = 16, 256
 #: Share of the lists a query visits, and how many at least.
-PROBE_SHARE, LEAST_PROBES = 0.34, 24
+PROBE_SHARE, LEAST_PROBES = 0.6, 24
 #: Candidates of a query that are ranked exactly, for each neighbour asked for.
 RERANK = 40
 #: Rows of a list, and queries, that meet in one task at most (about).

@@ -131,7 +131,8 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     numbered = numbered.withColumn("_n", F.row_number().over(same.orderBy(F.xxhash64(F.col(text_column)))))
     keys = [numbered[c].eqNullSafe(chosen[c]) for c in ("_id", "_source", "_size", "_n")]
     both = numbered.join(chosen, keys[0] & keys[1] & keys[2] & keys[3]).select(*(numbered[c] for c in docs.columns), numbered["_size"], chosen["taken"])
-    at, n = docs.columns.index(text_column), len(docs.columns)
+    names = docs.columns
+    at, n = names.index(text_column), len(names)
     word = re.compile(r"[^\x20\x09-\x0D]+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +147,6 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                     texts.append(text[:end])
             taken_rows = batch.take(pa.array(rows, pa.int32()))
             columns = [pa.array(texts, pa.string()) if k == at else taken_rows.column(k) for k in range(n)]
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return both.mapInArrow(run, docs.schema)
