@@ -15,14 +15,14 @@ from weftgraph.llm.common import Scratch, prepared
 
 #: Vectors that centroids and codebooks are fitted on at most: the first by a hash of the id.
 SAMPLE_ROWS = 20_000
-#: Coarse lists: the root of the number of vectors, this many at most.
-MOST_LISTS = 4096
+#: Coarse lists: this many at most, and one for so many vectors.
+MOST_LISTS, LIST_ROWS = 256, 40
 #: Parts a residual is quantised in, and codewords of each.
 PARTS, WORDS = 16, 256
 #: Share of the lists a query visits, and how many at least.
 PROBE_SHARE, LEAST_PROBES = 0.6, 24
-#: Candidates of a query that are ranked exactly, for each neighbour asked for.
-RERANK = 40
+#: Candidates of a query that are ranked exactly, and those that one list passes on, for each neighbour asked for.
+RERANK, LIST_RERANK = 40, 3
 #: Rows of a list, and queries, that meet in one task at most (about).
 BLOCK_ROWS, BLOCK_QUERIES = 1 << 16, 1 << 12
 SEED = 5
@@ -110,7 +110,7 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
     total = sizes["count"]
     picked = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample_rows)
     sample = np.array([r["v"] for r in picked.select(F.col("v").cast("array<float>")).collect()], np.float32)
-    index = Index(sample, min(MOST_LISTS, max(1, math.isqrt(total))))
+    index = Index(sample, min(MOST_LISTS, max(1, total // LIST_ROWS)))
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +143,7 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
     blocks = F.broadcast(blocks)  # a row for each list, of which there are MOST_LISTS at most
     left = asked.join(blocks, "list").select("list", F.pmod(F.xxhash64("query_id"), "query_blocks").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("rb"), "query_id", "q")
     right = coded.join(blocks, "list").where("query_blocks > 0").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks").cast("long") - 1)).alias("qb"), F.pmod(F.xxhash64("id"), F.col("row_blocks")).cast("int").alias("rb"), "id", "codes")
-    wanted = RERANK * k
+    wanted, from_list = RERANK * k, LIST_RERANK * k
 
     def near(asks: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
@@ -154,7 +154,7 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
             for query, q, own in zip(asks["query_id"], asks["q"], asks["list"]):
                 table = index.tables(np.asarray(q, np.float32), own)
                 far = sum(table[i][codes[:, i]] for i in range(len(table)))
-                best = np.argsort(far, kind="stable")[: wanted + 1]
+                best = np.argsort(far, kind="stable")[: from_list + 1]
                 best = best[ids[best] != query]
                 found += zip([query] * len(best), ids[best].tolist(), far[best].tolist())
         return pd.DataFrame(found, columns=["query_id", "vec_id", "far"])
