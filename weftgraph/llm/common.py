@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -53,7 +55,10 @@ class Scratch:
         for path in [p for p in self.paths if df is not None and any(p in f for f in df.inputFiles()[:1])]:
             _remove(self.spark, path)
             self.paths.remove(path)
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # Python's references to a plan go first, then the JVM's
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
