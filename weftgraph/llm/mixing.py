@@ -20,7 +20,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MOST_REPEATS = 3
 #: Blocks of equal size that the mix is made of, and words of one shard, about.
 BLOCKS = 1 << 20
-SHARD_WORDS = 1 << 24
+SHARD_WORDS = 1 << 20
 SEED = 20240229
 #: Sources at most: their totals are apportioned in the driver.
 MOST_SOURCES = 1_000_000
@@ -67,24 +67,25 @@ def words(text_column: str = "text") -> Column:
 
 def mix(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0,
-    most: int = MOST_REPEATS, blocks: int = BLOCKS, shard_words: int = SHARD_WORDS, seed: int = SEED,
+    most: int = MOST_REPEATS, blocks: int = BLOCKS, shard_words: int = SHARD_WORDS, seed: int = SEED, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of docs: id, source, size, source_size, target and taken: the words that the mix takes of each document, repeats counted.
+    """One row per row of docs: id, source, size, source_size, target and taken, the words that the mix takes of each document, repeats counted; and `row` with the carried columns.
 
     Sources in code-point order, null last, have the weights in turn. Their
     targets become whole blocks by Sainte-Laguë, a source's blocks those of its
-    shards in the same way; a shard of at most about shard_words words is one
-    seeded order of documents, cut into blocks. What a shard is to give more than
-    once it gives of every document; what is left, from the start of that order,
-    so that one document of a shard may be taken in part. No document exceeds
-    `most` times its size. Sources without words have target and taken 0, as have
-    documents without; rows that repeat count each. The same rows give the same
-    mix. An empty table gives an empty table.
+    shards in the same way; a shard of about shard_words words is one seeded
+    order of documents, cut into blocks. What a shard is to give more than once it
+    gives of every document; what is left, from the start of that order, so that
+    one document of a shard may be taken in part. No document exceeds `most` times
+    its size. Sources without words have target and taken 0, as have documents
+    without; rows that repeat count each. The same rows give the same mix. An
+    empty table gives an empty table.
     """
-    scratch = Scratch(prepared(docs.sparkSession), "mixing")
-    rows = docs.select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("src"), F.col(text_column).alias("text"))
-    rows = rows.select("id", "text", F.col("src").isNull().alias("no_src"), F.coalesce("src", F.lit("")).alias("src"), words("text").alias("size"))
-    sized = scratch.stored(rows.select("id", "no_src", "src", "size"))
+    spark = prepared(docs.sparkSession)
+    scratch = Scratch(spark, "mixing")
+    src = F.col(source_column).cast("string")
+    columns = [F.col(id_column).alias("id"), src.isNull().alias("no_src"), F.coalesce(src, F.lit("")).alias("src"), words(text_column).alias("size")]
+    sized = scratch.stored(docs.select(*columns))
     totals = sized.groupBy("no_src", "src").agg(F.sum("size").alias("size"))
     if totals.count() > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -94,9 +95,7 @@ def mix(
     block = max(1, int(sum(wanted)) // blocks)
     quotas = sainte_lague(wanted, round(sum(wanted) / block))
     plan = [(no, src, size, target, quota, max(1, math.ceil(size / shard_words))) for (no, src, size), target, quota in zip(found, wanted, quotas)]
-    spark = docs.sparkSession
-    sources = spark.createDataFrame(plan, "no_src boolean, src string, source_size long, target double, quota long, shards long")
-    sources = broadcast_if_small(sources, 10_000)
+    sources = broadcast_if_small(spark.createDataFrame(plan, "no_src boolean, src string, source_size long, target double, quota long, shards long"), 10_000)
     of = ["no_src", "src"]
     shard = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("shards"))
 
@@ -108,30 +107,20 @@ def mix(
     shards = sized.join(sources, of).withColumn("shard", shard).groupBy(*of, "shard", "quota").agg(F.sum("size").alias("shard_size"))
     shards = shards.groupBy(*of).applyInPandas(dealt, "no_src boolean, src string, shard long, shard_size long, shard_quota long")
     shards = broadcast_if_small(scratch.stored(shards), 100_000)
-    order = Window.partitionBy(*of, "shard").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = sized.join(sources, of).withColumn("shard", shard).join(shards, [*of, "shard"]).withColumn("before", F.sum("size").over(order) - F.col("size"))
+    # What is carried goes through the shards' one shuffle, rather than being joined again.
+    rows = docs.select(*columns, F.struct(*carry).alias("row")) if carry else sized
+    order = Window.partitionBy(*of, "shard").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size", *(["row"] if carry else [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = rows.join(sources, of).withColumn("shard", shard).join(shards, [*of, "shard"]).withColumn("before", F.sum("size").over(order) - F.col("size"))
     times = F.expr("if(shard_size > 0, shard_quota div shard_size, 0L)")
     rest = F.col("shard_quota") - times * F.col("shard_size")
     taken = times * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return parts.select("id", F.when(~F.col("no_src"), F.col("src")).alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return parts.select("id", F.when(~F.col("no_src"), F.col("src")).alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), *(["row"] if carry else []))
 
 
 def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options: object) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each time a document is taken whole, and one with its first words where it is taken in part.
-
-    Rows that repeat an id with one size are taken alike on the whole: the k-th of
-    them, by text, gets the k-th largest taken.
-    """
-    scratch = Scratch(prepared(docs.sparkSession), "mixed")
-    same = Window.partitionBy("_id", "_source", "_size")
-    chosen = mix(docs, id_column, text_column, **options).select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken")
-    chosen = scratch.stored(chosen.withColumn("_n", F.row_number().over(same.orderBy(F.desc("taken")))).where("taken > 0"))
-    source = options.get("source_column", "source")
-    numbered = docs.select(*docs.columns, F.col(id_column).alias("_id"), F.col(source).cast("string").alias("_source"), words(text_column).alias("_size"))
-    numbered = numbered.withColumn("_n", F.row_number().over(same.orderBy(F.xxhash64(F.col(text_column)))))
-    keys = [numbered[c].eqNullSafe(chosen[c]) for c in ("_id", "_source", "_size", "_n")]
-    both = numbered.join(chosen, keys[0] & keys[1] & keys[2] & keys[3]).select(*(numbered[c] for c in docs.columns), numbered["_size"], chosen["taken"])
-    names = docs.columns
+    """The mix itself, with the columns of docs: a row for each time a document is taken whole, and one with its first words where it is taken in part."""
+    names, schema = docs.columns, docs.schema
+    chosen = mix(docs, id_column, text_column, carry=tuple(names), **options).where("taken > 0").select(*(F.col("row")[c].alias(c) for c in names), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     at, n = names.index(text_column), len(names)
     word = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -149,4 +138,4 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             columns = [pa.array(texts, pa.string()) if k == at else taken_rows.column(k) for k in range(n)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return both.mapInArrow(run, docs.schema)
+    return chosen.mapInArrow(run, schema)
