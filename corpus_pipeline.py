@@ -7,7 +7,7 @@ before the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import langid, mixing, packing, simhash, suffixes
@@ -15,6 +15,8 @@ from weftgraph.llm.common import Scratch, prepared, table
 
 #: A text without a letter is rejected, and one whose best cosine is less than this.
 LEAST_SCORE = 0.05
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +41,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     differing bits of 64; a null id is kept only if its component has no other.
     """
     prepared(spark)
-    scratch = Scratch(spark, "keep")
     groups = simhash.near_duplicates(docs)
-    chosen = scratch.stored(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    kept = docs.join(chosen, docs.doc_id.eqNullSafe(chosen.doc_id), "left_semi")
-    return kept.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("row")).select(*(F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}") for c in docs.columns))
+    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
+    chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
+    kept = docs.withColumn("_key", key).join(chosen, "_key", "left_semi")
+    # By the join's key, so that texts are shuffled once.
+    first = Window.partitionBy("_key").orderBy(*(F.col(c) for c in docs.columns))
+    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
