@@ -14,29 +14,40 @@ from weftgraph.functions import scalars as S
 from weftgraph.session import stored
 
 
-def tfidf(names: DataFrame, column: str) -> DataFrame:
-    """names with features: unit TF-IDF vectors of the words and word pairs of split identifiers."""
-    split = names.withColumn("_text", S.split_identifier(F.col(column)))
+def terms(names: DataFrame, column: str) -> DataFrame:
+    """names with _terms: words and word pairs of split identifiers, without stop words."""
     steps = [
-        RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\w\w+", gaps=False), StopWordsRemover(inputCol="_words", outputCol="_kept"), NGram(n=2, inputCol="_kept", outputCol="_pairs"),
-        SQLTransformer(statement="SELECT *, concat(_kept, _pairs) AS _terms FROM __THIS__"), CountVectorizer(inputCol="_terms", outputCol="_counts"), IDF(inputCol="_counts", outputCol="_raw"), Normalizer(inputCol="_raw", outputCol="features"),
+        RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\w\w+", gaps=False), StopWordsRemover(inputCol="_words", outputCol="_kept"),
+        NGram(n=2, inputCol="_kept", outputCol="_pairs"), SQLTransformer(statement="SELECT *, concat(_kept, _pairs) AS _terms FROM __THIS__"),
     ]
-    return Pipeline(stages=steps).fit(split).transform(split)
+    found = names.withColumn("_text", S.split_identifier(F.col(column)))
+    for step in steps:
+        found = step.transform(found)
+    return found.drop("_text", "_words", "_kept", "_pairs")
+
+
+def tfidf(found: DataFrame) -> DataFrame:
+    """Rows of terms() with features: unit TF-IDF vectors."""
+    steps = [CountVectorizer(inputCol="_terms", outputCol="_counts"), IDF(inputCol="_counts", outputCol="_raw"), Normalizer(inputCol="_raw", outputCol="features")]
+    return Pipeline(stages=steps).fit(found).transform(found)
 
 
 def cluster_names(names: DataFrame, column: str, most: int = 50, seed: int = 42) -> DataFrame:
-    """names with label: k-means with the number of clusters of best silhouette, the fewest of equals."""
-    vectors = stored(tfidf(names, column).select(*names.columns, "features"), "tfidf")
+    """names with label: k-means with the number of clusters of best silhouette, the fewest of equals; one cluster if no name has a term."""
+    found = stored(terms(names, column), "terms")
+    if found.where(F.size("_terms") > 0).isEmpty():
+        return names.withColumn("label", F.lit(0))
+    vectors = stored(tfidf(found).select(*names.columns, "features"), "tfidf")
     n = vectors.count()
-    best, found = -2.0, None
+    best, chosen = -2.0, None
     for k in range(2, min(most, n - 1) + 1):
         labelled = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(vectors).transform(vectors)
         if labelled.select("label").distinct().count() < 2:
             continue
         score = ClusteringEvaluator(predictionCol="label", featuresCol="features").evaluate(labelled)
         if score > best:
-            best, found = score, labelled
-    return (vectors.withColumn("label", F.lit(0)) if found is None else found).drop("features")
+            best, chosen = score, labelled
+    return (vectors.withColumn("label", F.lit(0)) if chosen is None else chosen).drop("features")
 
 
 def sampled_names(rows: DataFrame, group: str, name: str, order: str, n: int = 50) -> DataFrame:

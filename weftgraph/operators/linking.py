@@ -17,8 +17,8 @@ def link_calls(calls: DataFrame, functions: DataFrame, name: str = "combinedName
 def external_nodes(calls: DataFrame, functions: DataFrame, name: str = "combinedName", callee: str = "fnc_id") -> DataFrame:
     """(id, name) of called names without a definition; ids go on after the largest known, by name."""
     unknown = calls.select(F.col(name).alias("name")).where("name is not null").join(functions.select(F.col(name).alias("name")), "name", "left_anti").distinct()
-    last = functions.agg(F.coalesce(F.max(callee), F.lit(-1)).alias("_last"))
-    return dense_ids(unknown, ["name"], "_i").join(F.broadcast(last)).select((F.col("_i") + F.col("_last") + 1).alias("id"), "name")
+    last = functions.agg(F.max(callee)).first()[0]
+    return dense_ids(unknown, ["name"], "id", 0 if last is None else last + 1).select("id", "name")
 
 
 def link_with_externals(calls: DataFrame, functions: DataFrame, name: str = "combinedName", caller: str = "func_id", callee: str = "fnc_id") -> tuple[DataFrame, DataFrame]:
