@@ -170,6 +170,27 @@ def test_search_recall_and_order(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_search_within_near_copies(spark):
+    rng = np.random.RandomState(3)
+    vectors = rng.normal(size=(3000, 64))
+    for at in (0, 1000):
+        vectors[at : at + 400] = vectors[at] + rng.normal(size=(400, 64)) * 1e-4
+    vectors = vectors[rng.permutation(3000)].astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    wide = vectors.astype(float)
+    by = collections.defaultdict(list)
+    for r in sorted(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=20).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        by[r["query_id"]].append(r["vec_id"])
+    inside = 0
+    for q, got in by.items():
+        far = np.sqrt(((wide - wide[q]) ** 2).sum(axis=1))
+        best = [i for i in np.lexsort((np.arange(3000), far)) if i != q][:10]
+        if far[best[-1]] < 0.01:
+            inside += 1
+            assert got == best
+    assert inside >= 20
+
+
 def test_words_are_counted_as_said(spark):
     texts = [None, "", " ", "a", " a\tb\x0bc ", "a\xa0b\x1cc d", "\n\n"]
     found = spark.createDataFrame([(t,) for t in texts], "text string").select(mixing.words("text")).collect()
