@@ -59,3 +59,14 @@ def test_stages(spark):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_one_row_of_each_component(spark):
+    def words(n):
+        return " ".join(f"w{n}x{i}" for i in range(40))
+
+    rows = [(None, words(i), "xx", "s", i) for i in range(5)] + [(None, words(1), "xx", "s", 9)]
+    rows += [(7, words(10), "xx", "s", 0), (7, words(11), "xx", "s", 0), (8, words(11), "xx", "s", 0), (9, words(2), "xx", "s", 0), (7, words(10), "aa", "s", 0)]
+    kept = pipeline.near_duplicates(spark, spark.createDataFrame(rows, COLUMNS), "unused").collect()
+    want = [(None, words(i), "xx", i) for i in (0, 1, 3, 4)] + [(7, words(10), "aa", 0), (7, words(11), "xx", 0), (9, words(2), "xx", 0)]
+    assert sorted((repr((r["doc_id"], r["text"], r["lang"], r["n_chars"])) for r in kept)) == sorted(map(repr, want))
