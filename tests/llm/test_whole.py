@@ -142,6 +142,24 @@ def test_page_text(spark):
     assert htmltext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LEAD, REST = "lead " * 35, "rest " * 65
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<main><h1>Head</h1><p>{LEAD}</p><section>{REST}</section></main>",
+        f"<div><h1>Head</h1><p>{LEAD}</p><blockquote>{REST}</blockquote></div>",
+        f"<div><h1>Head</h1><p>{LEAD}</p><table><tr><td>{REST}</td></tr></table></div>",
+        f"<nav>Menu</nav><div><article><h1>Head</h1><p>{LEAD}</p></article><article>{REST}</article></div>",
+        f"<main><h1><a href=/>Head</a></h1><p>{LEAD}</p><article>{REST}</article></main>",
+    ],
+)
+def test_nothing_but_boilerplate_goes(body):
+    page = f"<html><body><nav><a href=/>Menu</a></nav>{body}<footer>foot</footer></body></html>"
+    assert htmltext.extract(page, htmltext.vote(page)).split() == ["Head", *LEAD.split(), *REST.split()]
+
+
 def test_search_recall_and_order(spark):
     rng = np.random.RandomState(1)
     centres = rng.normal(size=(10, 16))

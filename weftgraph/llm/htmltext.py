@@ -17,8 +17,8 @@ from weftgraph.session import small_enough
 BROADCAST_HOSTS = 100_000
 PATH_CHARS = 200
 SALTS = 32
-#: Share of a page's own text that the container must hold which is taken as its main one.
-SHARE = 0.6
+#: Share of a page's own text that its main or article element must hold, and of its articles' text that one must hold which stands for all.
+NAMED_SHARE, ONE_SHARE = 0.3, 0.6
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|\Z)", re.I)
@@ -30,6 +30,7 @@ _BLOCKS = frozenset(
 )
 _CONTAINERS = frozenset("article body center div main section table tbody td tr blockquote".split())
 _ENDS_P = _BLOCKS - {"br", "button", "svg", "video", "audio", "canvas", "option", "caption", "legend"}
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd figcaption".split())
 _DROPPED = frozenset("nav footer aside form button select option menu dialog svg canvas video audio head object applet".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _DROPPED_WORDS = re.compile(
@@ -110,6 +111,7 @@ class Page:
         while len(self.stack) > 1:
             self._pop()
         self.nodes[0].last = len(self.pieces)
+        self.total: dict[int, int] | None = None
 
     def _text(self, raw: str) -> None:
         if raw:
@@ -171,32 +173,53 @@ class Page:
         self.block += tag in ("p", "br")
 
     def own(self) -> dict[int, int]:
-        """Characters of each element's text (with what is below) that aren't dropped or links, by its number."""
+        """Characters of each element's text (with what is below) that aren't dropped, by its number.
+
+        Links count where they are part of prose: in a block with other text, or in a paragraph or heading.
+        """
+        if self.total is not None:
+            return self.total
+        mixed = {block for block, text, node, linked in self.pieces if not linked and not node.dropped and text.strip()}
         total: dict[int, int] = {}
-        for _, text, node, linked in self.pieces:
-            if node.dropped or linked:
+        for block, text, node, linked in self.pieces:
+            if node.dropped or linked and block not in mixed and not self._in_prose(node):
                 continue
-            size = len(text.split()) and len(text.strip())
+            size = len(text.strip())
             while size and node is not None:
                 total[node.at] = total.get(node.at, 0) + size
                 node = node.above
+        self.total = total
         return total
 
+    @staticmethod
+    def _in_prose(node: Node | None) -> bool:
+        while node is not None:
+            if node.tag in _PROSE:
+                return True
+            node = node.above
+        return False
+
     def best(self) -> Node:
-        """The innermost container that holds most of the page's own text; an article element or main goes before others."""
+        """The innermost container outside which all text is dropped; a main element, or an article, with enough of the page goes before others.
+
+        Of several articles without a main the one is taken that holds most of
+        their text, or else the element around all of them.
+        """
         total = self.own()
-        whole, found = total.get(0, 0), self.nodes[0]
-        for node in self.nodes[1:]:  # parents stand before children
-            size = total.get(node.at, 0)
-            if size and node.tag in _CONTAINERS and not node.dropped and size >= SHARE * whole:
+        top = self.nodes[0]
+        for tag in ("main", "article"):
+            named = [n for n in self.nodes if n.tag == tag and not n.dropped and total.get(n.at, 0)]
+            named = [n for n in named if not any(self._within(n.above, m) for m in named)]
+            if sum(total[n.at] for n in named) >= NAMED_SHARE * total.get(0, 0) and named:
+                top = max(named, key=lambda n: (total[n.at], -n.at))
+                if total[top.at] < ONE_SHARE * sum(total[n.at] for n in named):
+                    while not all(self._within(n, top) for n in named):
+                        top = top.above
+                break
+        found = top
+        for node in self.nodes[top.at + 1 :]:  # parents stand before children
+            if node.tag in _CONTAINERS and not node.dropped and total.get(node.at, 0) == total.get(top.at, 0) > 0 and self._within(node, top):
                 found = node
-        named = [n for n in self.nodes if n.tag in ("article", "main") and not n.dropped and total.get(n.at, 0)]
-        if named and not any(self._within(found, n) for n in named):
-            top = max(named, key=lambda n: (total[n.at], -n.at))
-            if total[top.at] >= 0.3 * whole:
-                found = top
-        else:
-            found = next((n for n in named if self._within(found, n) and n.tag == "article"), found)
         return found
 
     @staticmethod
