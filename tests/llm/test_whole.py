@@ -160,6 +160,15 @@ def test_nothing_but_boilerplate_goes(body):
     assert htmltext.extract(page, htmltext.vote(page)).split() == ["Head", *LEAD.split(), *REST.split()]
 
 
+def test_page_unlike_its_host(spark):
+    most = "<html><body><div><p>{0}</p></div></body></html>"
+    other = f"<html><body><section><div>tag</div></section><div>box</div><article><p>{LEAD}</p></article></body></html>"
+    for url in ("http://a.org/x", None):
+        rows = [(n, url, most.format(REST)) for n in range(3)] + [(9, url, other)]
+        found = {r["page_id"]: r["text"] for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert found == {0: REST.strip(), 1: REST.strip(), 2: REST.strip(), 9: LEAD.strip()}
+
+
 def test_search_recall_and_order(spark):
     rng = np.random.RandomState(1)
     centres = rng.normal(size=(10, 16))

@@ -263,18 +263,21 @@ def vote(source: str) -> str:
 
 
 def extract(source: str, path: str | None) -> str:
-    """Main text of a page: of the elements at its host's path, or of its own best container where there are none."""
+    """Main text of a page: of the elements at its host's path, or of its own best container where they hold less of the page's own text."""
     page = Page(source)
-    roots = page.at_path(path) if path else []
-    return page.text(roots or [page.best()])
+    roots, best, total = page.at_path(path) if path else [], page.best(), page.own()
+    if not roots or sum(total[n.at] for n in roots) < total.get(best.at, 0):
+        roots = [best]
+    return page.text(roots)
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every row.
 
     Each page votes for the generalised path (tags and classes) of the container
-    with most of its own text; a host's path is the one with most votes, the
-    smallest of equals. Pages without a host (null or odd URL) share one, the
+    that holds its own text; a host's path is the one with most votes, the
+    smallest of equals. A page on which that path holds less than its own
+    container does gives the text of the latter. Pages without a host (null or odd URL) share one, the
     empty one, and so their path. Null and empty html give empty text. Rows that
     repeat vote and are answered each; other columns are dropped; an empty table
     gives an empty table.
