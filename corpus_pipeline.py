@@ -7,15 +7,11 @@ before the next.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm import langid, mixing, packing, simhash, suffixes
-from weftgraph.llm.common import Scratch, as_bytes, connected_components, prepared, table
+from weftgraph.llm import jaccard, langid, mixing, packing, suffixes
+from weftgraph.llm.common import Scratch, prepared, table
 
 #: A text without a letter is rejected, and one whose best cosine is less than this.
 LEAST_SCORE = 0.05
@@ -36,31 +32,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
-def components(scratch: Scratch, texts: DataFrame) -> DataFrame:
-    """(_text, _root) of every distinct text of (_text, text): texts with the same root are of one component."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([simhash.fingerprint(x) for x in as_bytes(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["_text", "fp"])
-
-    nodes = scratch.stored(texts.select("_text", "text").mapInArrow(run, "_text string, fp long").distinct())
-    stars = scratch.stored(connected_components(scratch, simhash.links(scratch, nodes.select("fp").distinct())))
-    return nodes.join(stars, nodes.fp == stars.node, "left").select("_text", F.coalesce("component", "fp").alias("_root"))
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: that of the smallest id (of rows that repeat it, the smallest text).
 
-    Components are the operator's own: three-word shingles, two or fewer
-    differing bits of 64. A row with a null id is kept only if its component has
+    Texts are near duplicates if the Jaccard similarity of their five-word
+    shingles is 0.8 or more; components are what such pairs link. Fingerprints
+    can't find these pairs (they differ in 4 to 14 bits), so the search is by
+    jaccard.components(). A row with a null id is kept only if its component has
     no other, and then the one of the smallest text.
     """
     prepared(spark)
     scratch = Scratch(spark, "near")
     keyed = docs.withColumn("_text", F.md5(F.coalesce("text", F.lit(""))))  # equal texts, by 128 bits
     ids = keyed.groupBy("_text").agg(F.min("doc_id").alias("_id"))
-    rows = scratch.stored(components(scratch, keyed).join(ids, "_text"))
+    rows = scratch.stored(jaccard.components(scratch, keyed).join(ids, "_text"))
     low = rows.groupBy("_root").agg(F.min("_id").alias("_low"))
     chosen = scratch.stored(rows.join(low, "_root").where(F.col("_id").eqNullSafe(F.col("_low"))).select("_root", "_text"))
     tied = scratch.stored(chosen.join(chosen.groupBy("_root").count().where("count > 1"), "_root").select("_root", "_text"))

@@ -70,3 +70,24 @@ def test_one_row_of_each_component(spark):
     kept = pipeline.near_duplicates(spark, spark.createDataFrame(rows, COLUMNS), "unused").collect()
     want = [(None, words(i), "xx", i) for i in (0, 1, 3, 4)] + [(7, words(10), "aa", 0), (7, words(11), "xx", 0), (9, words(2), "xx", 0)]
     assert sorted((repr((r["doc_id"], r["text"], r["lang"], r["n_chars"])) for r in kept)) == sorted(map(repr, want))
+
+
+def test_near_duplicates_by_jaccard(spark):
+    rnd = random.Random(6)
+
+    def edited(words, n):
+        words = list(words)
+        for i in rnd.sample(range(len(words)), n):
+            words[i] = f"new{rnd.randint(0, 10**6)}"
+        return words
+
+    line = [f"line{i}" for i in range(8)]
+    bases = [[f"w{rnd.randint(0, 3000)}" for _ in range(rnd.randint(6, 150))] for _ in range(25)]
+    texts = [b + line for b in bases] + [edited(b + line, rnd.randint(0, min(6, len(b)))) for b in bases for _ in range(3)]
+    texts += [edited(bases[0] + line, 1) for _ in range(40)] + [["few", "words"], ["few", "words"], ["other"]]
+    rows = [(i, " ".join(t), "xx", "s", 0) for i, t in enumerate(texts)]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    want = brute.roots(range(len(texts)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    kept = pipeline.near_duplicates(spark, spark.createDataFrame(rows, COLUMNS), "unused").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))
+    assert len(set(want.values())) < len(texts) - 20  # some are near copies
