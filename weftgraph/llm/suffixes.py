@@ -4,8 +4,10 @@ Documents are cut into phrases at triggers of a rolling hash. The distinct
 phrases are the dictionary; each document's sequence of phrases is its parse.
 A dictionary phrase that has occurred before is repeated as a whole. Only
 phrases whose trigger is shared by different phrases can also share single
-strings; those get a suffix array, by prefix doubling, whose ranks are combined
-with the parse's places to say which string came first in the corpus.
+strings. No suffix array is built: repeats have one length, so phrases are
+grouped by hash, and of their strings of that length those whose rolling hash is
+met twice are sorted by bytes and then by the parse's places, which say which
+came first in the corpus. Groups too large for a task are settled by two hashes.
 """
 
 from __future__ import annotations
@@ -201,8 +203,7 @@ def _suffixes(doc: np.ndarray, at: np.ndarray, parts: list[bytes], length: int)
     """(doc, at, repeats, hash, other hash) of every string in the parts: whether an equal one is at an earlier place.
 
     Strings whose rolling hash is met once can't repeat. The others are sorted by
-    their bytes, which is the suffix array of the parts up to that length, and
-    within equal ones by place in the corpus.
+    their bytes, and within equal ones by place in the corpus.
     """
     data = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts])
