@@ -414,7 +414,7 @@ def T1_call_graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def M4_label_propagation(spark: SparkSession, d: str) -> DataFrame:
-    """Communities of suppliers and parts of the same order lines."""
+    """Communities of suppliers and parts of the same order lines: labels after three rounds, by definition; they need not have settled."""
     edges = t(spark, d, "lineitem").select(c("l_suppkey").alias("source"), (c("l_partkey") + 10_000_000).alias("target"))
     return C.label_propagation(edges, 3)
 
