@@ -4,8 +4,10 @@ import collections
 import importlib.util
 import random
 
+import numpy as np
+
 import corpus_pipeline as pipeline
-from weftgraph.llm import packing
+from weftgraph.llm import jaccard, packing
 
 _here = importlib.util.spec_from_file_location("dedup_brute", __file__.replace("test_pipeline", "test_dedup"))
 brute = importlib.util.module_from_spec(_here)
@@ -72,6 +74,18 @@ def test_one_row_of_each_component(spark):
     assert sorted((repr((r["doc_id"], r["text"], r["lang"], r["n_chars"])) for r in kept)) == sorted(map(repr, want))
 
 
+def test_parity_loses_no_similar_pair():
+    rng = np.random.RandomState(1)
+    kept = 0
+    for _ in range(2000):
+        both = rng.randint(0, 1 << 62, rng.randint(1, 300)).astype(np.uint64)
+        a, b = (np.unique(np.append(both, rng.randint(0, 1 << 62, rng.randint(0, len(both) // 3 + 1)).astype(np.uint64))) for _ in range(2))
+        may = jaccard.may_be_similar(len(a), len(b), jaccard.parity(a), jaccard.parity(b))
+        assert may or not jaccard.similar(a, b)
+        kept += jaccard.similar(a, b)
+    assert kept > 200
+
+
 def test_near_duplicates_by_jaccard(spark):
     rnd = random.Random(6)
 

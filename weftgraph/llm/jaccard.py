@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import Scratch, as_bytes, connected_components
+from weftgraph.session import broadcast_if_small
 
 SHINGLE_WORDS = 5
 SEED = 42
+#: Texts whose keys are broadcast at most, to pick them where they are read; of more, all texts are shuffled.
+BROADCAST_TEXTS = 200_000
 #: Counters of shingles, and how many of them are passed on in a row.
 SLOTS, SLOT_ROWS = 1 << 18, 1 << 14
 _TIMES = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(SHINGLE_WORDS)]
@@ -44,6 +47,22 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
+def parity(found: np.ndarray) -> bytes:
+    """Bits, about as many as the set has members, each the parity of the members that fall on it."""
+    width = 1 << max(3, len(found).bit_length())
+    return np.packbits(np.bincount((found >> np.uint64(32) & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1).tobytes()
+
+
+def may_be_similar(n: int, m: int, a: bytes, b: bytes) -> bool:
+    """False only for sets that aren't similar: those differ in at least as many members as their parities (folded to one width) do in bits."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return 9 * int(np.bitwise_count(x ^ y).sum()) <= n + m
+
+
 def _node(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63)
 
@@ -53,17 +72,20 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (_text, text) -> (_text, node) of each, and then the task's counters as (slot, counts)."""
+    """Rows (_text, text) -> (_text, node, n, bits) of each, and then the task's counters as (slot, counts)."""
+    names = ["_text", "node", "n", "bits", "slot", "counts"]
     counts = np.zeros(SLOTS, np.int64)
     for batch in batches:
         found = [shingles(x) for x in as_bytes(batch.column(1))]
         if found:
             counts += np.bincount((np.concatenate(found) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         none = pa.nulls(len(found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_node, found), pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], ["_text", "node", "slot", "counts"])
+        sizes, bits = pa.array([len(x) for x in found], pa.int32()), pa.array([parity(x) for x in found], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(x) for x in found], pa.int64()), sizes, bits, none.cast(pa.int32()), none.cast(pa.binary())], names)
     for i in range(0, SLOTS, SLOT_ROWS):
         if counts[i : i + SLOT_ROWS].any():
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([None], pa.int64()), pa.array([i], pa.int32()), pa.array([counts[i : i + SLOT_ROWS].tobytes()], pa.binary())], ["_text", "node", "slot", "counts"])
+            nulls = [pa.nulls(1, t) for t in (pa.string(), pa.int64(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*nulls, pa.array([i], pa.int32()), pa.array([counts[i : i + SLOT_ROWS].tobytes()], pa.binary())], names)
 
 
 def _added(rows):
@@ -150,6 +172,13 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pairs_of(a, b)
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows (a, b, size and parity of a, size and parity of b) that may be similar."""
+    for batch in batches:
+        n, x, m, y = (batch.column(i).to_pylist() for i in range(2, 6))
+        yield batch.select([0, 1]).filter(pa.array(list(map(may_be_similar, n, m, x, y)), pa.bool_()))
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of the rows (a, b, text of a, text of b) that are similar."""
     for batch in batches:
@@ -165,8 +194,9 @@ def components(scratch: Scratch, texts: DataFrame) -> DataFrame:
     within a component are left out, which changes no component.
     """
     texts = texts.select("_text", "text")
-    scanned = scratch.stored(texts.mapInArrow(_scanned, "_text string, node long, slot int, counts binary"))
+    scanned = scratch.stored(texts.mapInArrow(_scanned, "_text string, node long, n int, bits binary, slot int, counts binary"))
     nodes = scratch.stored(scanned.where("node is not null").select("_text", "node").distinct())
+    sizes = scratch.stored(scanned.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
     counts = np.zeros(SLOTS, np.int64)
     for r in scanned.where("node is null").select("slot", "counts").groupBy("slot").applyInPandas(_added, "slot int, counts binary").collect():
         counts[r["slot"] : r["slot"] + SLOT_ROWS] = np.frombuffer(r["counts"], np.int64)
@@ -192,8 +222,12 @@ def components(scratch: Scratch, texts: DataFrame) -> DataFrame:
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = scratch.stored(pairs.distinct())
+        with_a = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a")
+        with_b = with_a.join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
+        pairs = scratch.stored(with_b.select("a", "b", "na", "x", "nb", "y").mapInArrow(_possible, "a long, b long"))
+        scratch.drop()
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        chosen = nodes.join(ends, "node").groupBy("node").agg(F.min("_text").alias("_text"))
+        chosen = broadcast_if_small(scratch.stored(nodes.join(ends, "node").groupBy("node").agg(F.min("_text").alias("_text"))), BROADCAST_TEXTS)
         have = scratch.stored(texts.join(chosen, "_text").groupBy("node").agg(F.first("text").alias("text")))
         met = pairs.join(have.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         found = scratch.stored(met.select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long"))
@@ -205,4 +239,5 @@ def components(scratch: Scratch, texts: DataFrame) -> DataFrame:
     placed = shared.join(near, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("component"))
     more = confirmed(placed.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_across, "a long, b long"))
     final = scratch.stored(connected_components(scratch, links.unionByName(more)))
+    scratch.drop(shared)
     return nodes.join(final.withColumnRenamed("node", "_node"), nodes.node == F.col("_node"), "left").select("_text", F.coalesce("component", "node").alias("_root"))
