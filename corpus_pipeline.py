@@ -7,10 +7,10 @@ before the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import jaccard, langid, mixing, packing, suffixes
+from weftgraph.llm import langid, mixing, packing, simhash, suffixes
 from weftgraph.llm.common import Scratch, prepared, table
 
 #: A text without a letter is rejected, and one whose best cosine is less than this.
@@ -33,29 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: that of the smallest id (of rows that repeat it, the smallest text).
-
-    Texts are near duplicates if the Jaccard similarity of their five-word
-    shingles is 0.8 or more; components are what such pairs link. Fingerprints
-    can't find these pairs (they differ in 4 to 14 bits), so the search is by
-    jaccard.components(). A row with a null id is kept only if its component has
-    no other, and then the one of the smallest text.
-    """
-    prepared(spark)
-    scratch = Scratch(spark, "near")
-    keyed = docs.withColumn("_text", F.md5(F.coalesce("text", F.lit(""))))  # equal texts, by 128 bits
-    ids = keyed.groupBy("_text").agg(F.min("doc_id").alias("_id"))
-    rows = scratch.stored(jaccard.components(scratch, keyed).join(ids, "_text"))
-    low = rows.groupBy("_root").agg(F.min("_id").alias("_low"))
-    chosen = scratch.stored(rows.join(low, "_root").where(F.col("_id").eqNullSafe(F.col("_low"))).select("_root", "_text"))
-    tied = scratch.stored(chosen.join(chosen.groupBy("_root").count().where("count > 1"), "_root").select("_root", "_text"))
-    if not tied.isEmpty():
-        won = keyed.join(tied, "_text").groupBy("_root").agg(F.min_by("_text", "text").alias("_text"))
-        chosen = chosen.join(tied, "_root", "left_anti").unionByName(won.select("_root", "_text"))
-    # One row of each text before the join, and by its key: copies go where they are read, and texts are shuffled once.
-    first = Window.partitionBy("_text").orderBy(F.col("doc_id").asc_nulls_last(), *(F.col(c) for c in docs.columns if c not in ("doc_id", "text")))
-    one = keyed.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return one.join(chosen.select("_text"), "_text", "left_semi").select(*docs.columns)
+    """One document of each near-duplicate component: five words, Jaccard similarity of 0.8 or more (see simhash.one_of_each)."""
+    return simhash.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

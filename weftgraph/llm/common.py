@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +15,7 @@ from weftgraph.session import _remove, shared_folder, ship_package
 
 #: An Arrow batch given to Python ends at whichever comes first, so that long texts make short batches.
 BATCH_ROWS, BATCH_BYTES = 20_000, 8 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -33,32 +32,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Intermediate tables in the shared folder, removed as soon as they are no longer needed.
+    """Intermediate tables in the shared folder.
 
-    Written tables survive lost executors and cut the lineage. drop() removes
-    them and lets the JVM collect finished shuffles, so that the disk holds one
-    step's files at a time.
+    Written tables survive lost executors and cut the lineage. A write's shuffle
+    files go when it ends; a table goes by drop(), or when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.paths = spark, name, []
+        self.spark, self.name, self.paths = spark, name, {}
 
     def stored(self, df: DataFrame) -> DataFrame:
         path = f"{shared_folder(self.spark)}/weftgraph-{self.name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.paths.append(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         atexit.register(_remove, self.spark, path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(found)] = (path, found)
+        return found
 
-    def drop(self, df: DataFrame | None = None) -> None:
-        """Remove df's files (as stored() returned it), and collect what finished shuffles left."""
-        for path in [p for p in self.paths if df is not None and any(p in f for f in df.inputFiles()[:1])]:
-            _remove(self.spark, path)
-            self.paths.remove(path)
-        for _ in range(2):  # Python's references to a plan go first, then the JVM's
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.3)
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove the files of tables that stored() returned; nothing may read them afterwards."""
+        for df in tables:
+            if found := self.paths.pop(id(df), None):
+                _remove(self.spark, found[0])
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -71,6 +71,14 @@ def widened(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def regrouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at least so many (but for the last)."""
     held: list[pa.RecordBatch] = []

@@ -7,16 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Scratch, as_bytes, connected_components, prepared
+from weftgraph.llm import jaccard
+from weftgraph.llm.common import Scratch, as_bytes, connected_components, free, prepared
+from weftgraph.session import broadcast_if_small
 
 SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 2
-#: Fingerprints in one tree. Larger shards are linked by links() through balls of radius one instead.
+#: Fingerprints in one tree. Larger shards are cut by further bits.
 TREE_ROWS = 2048
+#: Numbers of rows that go, broadcast at most; of more, rows are shuffled.
+BROADCAST_GONE = 1_000_000
 _CHUNK = 1 << 16
 
 
@@ -29,13 +33,16 @@ def fingerprint(raw: bytes, words: int = SHINGLE_WORDS) -> int:
         shingles = [b" ".join(found)]
     else:
         shingles = list(map(b" ".join, zip(*(found[i:] for i in range(words)))))
-    total = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(shingles), _CHUNK):
-        part = shingles[at : at + _CHUNK]
-        hashes = np.fromiter((digest(s, SEED) for s in part), np.uint64, len(part))
-        total += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(shingles)).view(np.uint64)[0])
+    return voted(np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles)))
+
+
+def voted(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; 0 if there are none."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        total += np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes)).view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -114,14 +121,19 @@ class LinkTree:
         self.above.append(last)
 
 
-def blocks(radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(shift, mask) of radius + 1 blocks of the 64 bits: values within the radius agree in at least one of them."""
-    cuts = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    return [(a, (1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
+def blocks(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks that add to one of bits known to be equal a block of the others, radius + 1 in all: values within the radius agree in one of them too."""
+    left = [i for i in range(64) if not mask >> i & 1]
+    cuts = [round(len(left) * i / (radius + 1)) for i in range(radius + 2)]
+    return [mask | sum(1 << i for i in left[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (block, value, fp), a shard's rows together: builds each shard's tree, yields (a, b) of its links as stars."""
+    """Rows (mask, value, fp), a shard's rows together: builds each shard's tree, yields (a, b) of its links as stars."""
     shard, held = None, []
 
     def stars() -> Iterator[tuple[int, int]]:
@@ -137,11 +149,11 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
-        block, value, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        starts = np.flatnonzero((block[1:] != block[:-1]) | (value[1:] != value[:-1])) + 1
+        mask, value, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        starts = np.flatnonzero((mask[1:] != mask[:-1]) | (value[1:] != value[:-1])) + 1
         pairs: list[tuple[int, int]] = []
         for lo, hi in zip([0, *starts.tolist()], [*starts.tolist(), len(fps)]):
-            key = (block[lo], value[lo])
+            key = (mask[lo], value[lo])
             if key != shard:
                 pairs += stars()
                 shard, held = key, []
@@ -156,30 +168,33 @@ def links(scratch: Scratch, values: DataFrame, radius: int = RADIUS, tree_rows:
     """(a, b): links between the distinct 64-bit values of column fp, enough to connect all that differ in radius bits or fewer.
 
     Two values within the radius agree in one of radius + 1 blocks of their bits,
-    so each value goes to one shard per block, and a shard is small. Shards travel
-    to their searches by a shuffle: a broadcast of all trees would grow with the
-    corpus. A shard of more than tree_rows values is not put into one task: its
-    values are linked through the values at distance ceil(radius / 2) or less
-    that they share, of which any one is shared by few (65 for radius 2).
+    so each value goes to one shard per block. The values of a shard of more than
+    tree_rows agree in those bits, and so again in one block of the others: the
+    shard is cut by these, as often as needed, and every shard gets a tree.
+    Shards travel to their searches by a shuffle: a broadcast of all trees would
+    grow with the corpus.
     """
-    shards = values.select(
-        "fp", F.explode(F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit(m)).alias("value")) for i, (a, m) in enumerate(blocks(radius))))).alias("s")
-    ).select("s.block", "s.value", "fp")
-    large = scratch.stored(shards.groupBy("block", "value").count().where(F.col("count") > tree_rows).select("block", "value"))
-    cold = shards.join(large, ["block", "value"], "left_anti")
-    found = cold.repartition("block", "value").sortWithinPartitions("block", "value", "fp").mapInArrow(lambda it: _shard_links(it, radius), "a long, b long")
-    if radius != 2 or large.isEmpty():
-        return found if radius == 2 else _unbounded(found, large, radius)
-    hot = shards.join(large, ["block", "value"], "left_semi").select("fp").distinct()
-    near = hot.select("fp", F.explode(F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))).alias("near"))
-    shared = near.groupBy("near").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    return found.unionByName(shared.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a != b"))
-
-
-def _unbounded(found: DataFrame, large: DataFrame, radius: int) -> DataFrame:
-    if not large.isEmpty():
-        raise ValueError(f"shards too large for trees at radius {radius}: raise tree_rows")
-    return found
+    masks = [0]
+    whole = values.select("fp", F.lit(0).cast("long").alias("mask"))
+    found = None
+    while True:
+        inner = {m: blocks(m, radius) for m in masks}
+        cut = F.create_map(*(x for m, own in inner.items() for x in (F.lit(_signed(m)).cast("long"), F.array(*(F.lit(_signed(o)).cast("long") for o in own)))))
+        shards = whole.select("fp", F.explode(cut[F.col("mask")]).alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp")
+        masks = sorted({o for own in inner.values() for o in own})
+        large = scratch.stored(shards.groupBy("mask", "value").count().where(F.col("count") > tree_rows).select("mask", "value"))
+        last = large.isEmpty() or all(m.bit_count() >= 64 - radius for m in masks)
+        cold = shards if last else shards.join(large, ["mask", "value"], "left_anti")
+        new = cold.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(lambda it: _shard_links(it, radius), "a long, b long")
+        found = new if found is None else found.unionByName(new)
+        if last:
+            return found
+        whole = scratch.stored(shards.join(large, ["mask", "value"], "left_semi").select("fp", "mask"))
+
+
+def components(scratch: Scratch, values: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """(node, component) of the distinct values of column fp that have a link."""
+    return scratch.stored(connected_components(scratch, links(scratch, values, radius, tree_rows)))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, tree_rows: int = TREE_ROWS, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -196,8 +211,34 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     scratch = Scratch(spark, "simhash")
     rows = scratch.stored(fingerprints(docs, id_column, text_column, words))
     nodes = scratch.stored(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("n_same")))
-    stars = scratch.stored(connected_components(scratch, links(scratch, nodes.select("fp"), radius, tree_rows)))
+    stars = components(scratch, nodes.select("fp"), radius, tree_rows)
     joined = nodes.join(stars, nodes.fp == stars.node, "left").select("fp", "first_id", "n_same", F.coalesce("component", "fp").alias("component"))
     roots = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = joined.join(roots, "component").select("fp", "component_id", "n_same")
     return rows.join(named, "fp").select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = jaccard.SHINGLE_WORDS) -> DataFrame:
+    """One row of each component of near duplicates, with the columns of docs: that of the smallest id (of equal ids, of the smallest digest of the text).
+
+    Texts are near duplicates if the Jaccard similarity of their shingles of so
+    many words is four fifths or more; components are what such pairs link.
+    Fingerprints of the same shingles, linked through the trees, give the first
+    candidates; such pairs differ in up to twenty bits, so jaccard.components()
+    finds all others, and confirms each. Of rows with the same text the one of
+    the smallest id stays, then of the smallest other columns. A row with a null
+    id stays only if its component has no other. Texts without words (null,
+    empty, blank) are alike. An empty table gives an empty table.
+    """
+    scratch = Scratch(prepared(docs.sparkSession), "near")
+    row, digest, place = (free(docs, n) for n in ("row", "digest", "place"))
+    same = F.md5(F.coalesce(F.col(text_column), F.lit("")))  # equal texts, by 128 bits
+    first = Window.partitionBy(digest).orderBy(F.col(id_column).asc_nulls_last(), *(F.col(c) for c in docs.columns if c not in (id_column, text_column)))
+    once = docs.withColumn(digest, same).withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    once = scratch.stored(once.select(*docs.columns, digest, F.monotonically_increasing_id().alias(row)))
+    texts = once.select(F.col(row).alias("row"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    roots = jaccard.components(scratch, texts, components, lambda hashes: _signed(voted(hashes)), words)
+    keys = once.select(F.col(row).alias("row"), F.struct(F.col(id_column).isNull(), F.col(id_column), F.col(digest)).alias("key")).join(roots, "row")
+    chosen = keys.groupBy("root").agg(F.min_by("row", "key").alias("chosen"), F.count("*").alias("n")).where("n > 1")
+    gone = scratch.stored(roots.join(chosen, "root").where("row != chosen").select(F.col("row").alias(row)))
+    return once.join(broadcast_if_small(gone, BROADCAST_GONE), row, "left_anti").select(*docs.columns)

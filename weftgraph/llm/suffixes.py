@@ -284,13 +284,9 @@ def repeated_runs(docs: DataFrame, id_column: str, text_column: str, length: int
     checked = texts.withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).bitwiseAND(0x7FFFFFFF))
     parsed = texts.mapInArrow(lambda it: _parse(it, length, window), _PHRASES)
     found = scratch.stored(parsed.repartition("h").sortWithinPartitions("h", "c", "doc", "at").mapInArrow(lambda it: _dictionary(it, length), _PHRASES))
-    del parsed
-    scratch.drop()
     asked = found.where("span >= 0").groupBy("doc", F.shiftright("at", 32).alias("crc")).agg(F.collect_list(F.struct("at", "span")).alias("asked"))
     parts = checked.join(asked, ["doc", "crc"]).select("doc", "text", "asked").mapInArrow(lambda it: _contexts(it, length, window), "key long, doc long, at long, part binary")
     more = scratch.stored(parts.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _compared(it, length, group_rows), _PHRASES))
-    del parts, asked
-    scratch.drop()
     strings = more.where("span = 0")
     first = strings.groupBy("h", "c").agg(F.min(F.struct("doc", "at")).alias("first"))
     later = strings.join(first, ["h", "c"]).where(F.struct("doc", "at") != F.col("first")).select("doc", "at", F.lit(length).alias("size"))
