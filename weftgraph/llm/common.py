@@ -6,6 +6,7 @@ import atexit
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from weftgraph.session import _remove, shared_folder, ship_package
 
 #: An Arrow batch given to Python ends at whichever comes first, so that long texts make short batches.
 BATCH_ROWS, BATCH_BYTES = 20_000, 8 << 20
+_EDGES_TOGETHER = 1 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -98,32 +100,49 @@ def id_remainder(id_column: str, divisor: int) -> Column:
     return F.crc32(F.col(id_column).cast("string")) % divisor
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) -> as stars: each node that a batch of edges reaches with the smallest of them."""
+    for batch in regrouped(batches, _EDGES_TOGETHER):
+        nodes, at = np.unique(np.concatenate([batch.column(i).to_numpy() for i in (0, 1)]), return_inverse=True)
+        a, b = at[: batch.num_rows], at[batch.num_rows :]
+        low = np.arange(len(nodes))
+        while len(a):
+            x, y = low[a], low[b]
+            open_ = x != y
+            a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+            np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+            while (low[low] != low).any():
+                low = low[low]
+        linked = np.flatnonzero(low != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[low[linked]])], ["a", "b"])
+
+
 def connected_components(scratch: Scratch, edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """(node, component) of every node of an edge; the component is its smallest node.
+    """(node, component) of every node (a long) of an edge; the component is its smallest node.
 
     Alternating large-star and small-star steps: each replaces a node's
-    neighbours by links to the smallest of them, until only stars are left. A
-    step's work is in proportion to the edges; the minimum of a hub's neighbours
-    is pre-aggregated before the shuffle, and Spark splits a hub's rows in the
-    join. Each round is written to the shared folder. Null ends and loops are
-    ignored; an empty table gives an empty table.
+    neighbours by links to the smallest of them, and each task contracts what it
+    holds, until only stars are left. A step's work is in proportion to the
+    edges; the minimum of a hub's neighbours is pre-aggregated before the
+    shuffle, and Spark splits a hub's rows in the join. Each round is written to
+    the shared folder. Null ends and loops are ignored; an empty table gives an
+    empty table.
     """
     a, b = F.greatest(left, right), F.least(left, right)
-    now = scratch.stored(edges.select(a.alias("a"), b.alias("b")).where("a > b").distinct())
-    state = None
+    pair = "a long, b long"
+    now = scratch.stored(edges.select(a.cast("long").alias("a"), b.cast("long").alias("b")).where("a > b").distinct().mapInArrow(_contracted, pair))
     while True:
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        if ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below + above > 1").isEmpty():
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        then = scratch.stored(small)
-        new = then.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        then = scratch.stored(small.mapInArrow(_contracted, pair))
         scratch.drop(now)
         now = then
-        if tuple(new) == state:
-            break
-        state = tuple(new)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -393,17 +393,17 @@ def components(scratch: Scratch, texts: DataFrame, links_of: object, fingerprint
     links = confirmed(by_print.unionByName(shared.select(F.col("low").alias("a"), F.col("row").alias("b"))))
     near = scratch.stored(connected_components(scratch, links).withColumnRenamed("node", "row"))
     placed = scratch.stored(shared.join(near, "row", "left").select("token", "row", "n", "at", "k", F.coalesce("component", "row").alias("component")))
-    open_ = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
+    open_ = scratch.stored(placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token"))
     blocks = F.expr(f"cast(ceil(k / {block_rows}) as int)")
     cells = (
         placed.join(open_, "token").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("token", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "n", "row", "at", "component", "own")
     )
-    more = confirmed(cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "row").mapInArrow(_across, "a long, b long"))
+    more = links.limit(0) if open_.isEmpty() else confirmed(cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "row").mapInArrow(_across, "a long, b long"))
     final = scratch.stored(connected_components(scratch, links.unionByName(more)).withColumnRenamed("node", "row"))
     empty = sizes.where("n = 0").agg(F.min("row")).first()[0]  # texts without words are alike
     root = F.when(F.col("n") == 0, F.lit(empty)).otherwise(F.coalesce("component", "row"))
     found = scratch.stored(sizes.join(final, "row", "left").select("row", root.alias("root")))
-    scratch.drop(scanned, early, lists, links, near, placed, more, final)
+    scratch.drop(scanned, early, lists, links, near, placed, open_, more, final)
     return found
