@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import html.parser
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -169,6 +171,75 @@ def test_page_unlike_its_host(spark):
         assert found == {0: REST.strip(), 1: REST.strip(), 2: REST.strip(), 9: LEAD.strip()}
 
 
+@pytest.mark.parametrize(
+    "source",
+    ["<a " * 350_000, "<div>" * 200_000, "<b>" * 330_000, "<p><button>" + "<b>" * 90_000 + "<hr>" * 90_000, "<i><div>" + "<b>" * 90_000 + "</i>" * 90_000, "<a \"'" * 200_000, "<!" * 500_000, "<ul><li>" * 110_000, "<main>x" * 130_000],
+)
+def test_time_grows_with_the_page_alone(source):
+    began = time.process_time()
+    htmltext.vote(source)
+    assert time.process_time() - began < 12  # seconds for a megabyte; time with the square of it would be hours
+
+
+def test_forms():
+    prose = "word " * 60
+    whole = f"<html><body><form id=aspnet><article><p>{prose}</p></article><input value=x><select><option>a</select></form><footer>f</footer></body></html>"
+    assert htmltext.extract(whole, None) == prose.strip()
+    assert htmltext.extract(f"<body><p>{prose}</p><form><p>Your name</p><label>Mail</label><input></form></body>", None) == prose.strip()
+    assert htmltext.extract("<body><form><label>User</label><input></form>x</body>", None) == "x"
+
+
+def test_paths_are_told_apart_by_all_their_classes(spark):
+    deep = "<div>" * 60
+    most = f"<html><body>{deep}<div class='a b c d'><p>{{0}}</p></div></body></html>"
+    other = f"<html><body>{deep}<div class='a b c e'><p>box</p></div><div class='x'><p>{LEAD}</p></div></body></html>"
+    assert htmltext.vote(most.format(REST)) != htmltext.vote(most.format(REST).replace("a b c d", "a b c e"))
+    rows = [(n, "http://a.org/x", most.format(REST)) for n in range(3)] + [(9, "http://a.org/x", other)] * 2
+    found = sorted((r["page_id"], r["text"]) for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert found == [(n, REST.strip()) for n in range(3)] + [(9, f"box {LEAD.strip()}")] * 2
+
+
+class Plain(html.parser.HTMLParser):
+    """A plain extractor of well-formed pages: blocks of the one article, without what the page's own labels call boilerplate."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.blocks = [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("br", "input", "img"):
+            self.stack.append((tag, dict(attrs).get("class", "")))
+        if tag not in ("b", "i", "a", "span"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+        if tag not in ("b", "i", "a", "span"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.stack) and not any(t in ("script", "aside", "form", "nav") or c in ("comments", "share") for t, c in self.stack):
+            self.blocks[-1] += data
+
+
+def test_page_text_by_a_plain_extractor(spark):
+    rnd = random.Random(9)
+
+    def text():
+        return " ".join(rnd.choice(["one", "two &amp; three", "f&uuml;r", "<b>bold</b>", "<a href='/x'>link</a>", "x &lt; y", "\n tab\t"]) for _ in range(rnd.randint(3, 30)))
+
+    rows = []
+    for i in range(60):
+        parts = [f"<h1>{text()}</h1>"] + [rnd.choice([f"<p>{text()}</p>", f"<ul><li>{text()}</li><li>{text()}</li></ul>", f"<section><h2>{text()}</h2><p>{text()}</p></section>", "<aside><p>see</p></aside>", "<div class='share'>share</div>", "<script>if (a < b) {}</script>"]) for _ in range(rnd.randint(2, 9))]
+        page = f"<html><head><title>t</title></head><body><header>top</header><nav><a href='/'>Menu</a></nav><div class='wrap'><article>{''.join(parts)}<p>{text()} end</p></article><div class='comments'><p>{text()}</p></div></div><footer>foot</footer></body></html>"
+        rows.append((i, f"http://h{i % 3}.org/{i}", page))
+    found = {r["page_id"]: r["text"] for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, page in rows:
+        plain = Plain()
+        plain.feed(page)
+        assert found[i] == " ".join(" ".join(" ".join(b.split()) for b in plain.blocks).split())
+
+
 def test_search_recall_and_order(spark):
     rng = np.random.RandomState(1)
     centres = rng.normal(size=(10, 16))
