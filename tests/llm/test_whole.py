@@ -290,6 +290,39 @@ def test_search_within_near_copies(spark):
 
 
 def test_words_are_counted_as_said(spark):
-    texts = [None, "", " ", "a", " a\tb\x0bc ", "a\xa0b\x1cc d", "\n\n"]
-    found = spark.createDataFrame([(t,) for t in texts], "text string").select(mixing.words("text")).collect()
-    assert [r[0] for r in found] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    texts = [None, "", " ", "a", " a\tb\x0bc ", "a\xa0b\x1cc d", "\n\n", "\x85\u2003x", "w " * 400_000]
+    found = mixing.counted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", "size", "key").orderBy("doc_id").collect()
+    assert [r["size"] for r in found] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+@pytest.mark.parametrize(("blocks", "shard_words", "shard_rows", "group_shards"), [(13, 100, 1 << 18, 1 << 12), (1, 500, 1 << 18, 4), (1 << 20, 50_000, 20, 3), (100, 3000, 1 << 18, 1 << 12)])
+def test_mix_comes_near_its_targets_at_any_ratio(spark, blocks, shard_words, shard_rows, group_shards):
+    """Also where a block would be larger than a shard, as it would be in a large corpus, and where most ids are null or repeat."""
+    rnd = random.Random(7)
+    rows = [(rnd.choice([None, 7, i]), " ".join([f"w{i}"] * rnd.randint(1, 30)), ["a", "a", "a", "b", None][i % 5] if i > 40 else "0", f"{i}") for i in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    options = {"blocks": blocks, "shard_words": shard_words, "shard_rows": shard_rows, "group_shards": group_shards}
+    found = mixing.mix(frame, **options).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, mixing.mix(frame.repartition(5), **options).collect()), key=repr)
+    by = collections.defaultdict(list)
+    for r in found:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        by[r["source"]].append(r)
+    assert sum(r["size"] for r in found) == sum(len(t.split()) for _, t, _, _ in rows)
+    names = ["0", "a", "b", None]
+    want = mixing.targets([sum(r["size"] for r in by[n]) for n in names], [1, 2, 3, 1])
+    for n, target in zip(names, want):
+        assert abs(by[n][0]["target"] - target) < 1e-6
+        assert abs(sum(r["taken"] for r in by[n]) - target) <= 0.01 * target + 1
+
+
+@given(st.lists(st.integers(0, 300), min_size=1, max_size=8), st.integers(0, 200), st.data())
+@settings(max_examples=60, deadline=None)
+def test_sainte_lague_with_a_most(votes, seats, data):
+    most = [data.draw(st.integers(0, 60)) for _ in votes]
+    plain = [0] * len(votes)
+    for _ in range(seats):
+        open_ = [i for i in range(len(votes)) if votes[i] and plain[i] < most[i]]
+        if open_:
+            plain[max(open_, key=lambda i: (votes[i] / (2 * plain[i] + 1), -i))] += 1
+    assert mixing.sainte_lague([float(v) for v in votes], seats, most) == plain
