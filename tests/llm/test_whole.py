@@ -18,24 +18,23 @@ from weftgraph.llm import ann, htmltext, media, mixing, packing, warc
 TEXTS = [None, "", "word", "Don't stop: it's 12 o'clock!", "日本 語 ª½ İ <|endoftext|>x", "a\x1cb", "naïve café Straße " * 900, "x" * 3000]
 
 
-@pytest.mark.parametrize("shard_pieces", [1 << 19, 5])
-def test_packing(spark, shard_pieces):
+def test_packing(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.vocabulary())
     rows = [(i, t) for i, t in enumerate(TEXTS * 3)] + [(None, "no id"), (5, TEXTS[5])]
-    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), shard_pieces=shard_pieces).collect()
+    found = packing.pack(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, start int, offset string")).collect()
     own = collections.defaultdict(list)
     for r in found:
         own[r["doc_id"]].append(r)
     for i, text in rows:
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
-        pieces = sorted({(r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in own[i]})
-        at = 0
-        for start, length, crc, total in pieces:
-            assert (start, total, crc) == (at, len(ids), zlib.crc32(ids[at : at + length].tobytes()))
-            at += length
-        assert at == len(ids)
+        covered = np.zeros(len(ids), int)
+        for r in own[i]:
+            part = slice(r["start"], r["start"] + r["length"])
+            covered[part] += 1
+            assert (r["doc_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids[part].tobytes()))
+        assert set(covered) == {sum(j == i for j, _ in rows)}  # rows that repeat are packed each
     sequences = collections.defaultdict(list)
     for r in found:
         sequences[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -48,6 +47,30 @@ def test_packing(spark, shard_pieces):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@given(st.lists(st.integers(1, 200), max_size=60), st.sampled_from([16, 64]))
+@settings(max_examples=100, deadline=None)
+def test_sequences_are_filled(lengths, capacity):
+    doc, start, size, seq, offset = packing.filled(np.array(lengths, np.int64), capacity)
+    own = collections.defaultdict(list)
+    for d, s, n, q, o in zip(doc, start, size, seq, offset):
+        own[d].append((s, n))
+    assert {d: sum(n for _, n in p) for d, p in own.items()} == dict(enumerate(lengths))
+    for parts in own.values():
+        parts.sort()
+        assert all(s + n == t for (s, n), (t, _) in zip(parts, parts[1:])) and parts[0][0] == 0
+    sums = collections.Counter()
+    for q, o, n in sorted(zip(seq, offset, size)):
+        assert sums[q] == o
+        sums[q] += n
+    assert all(n <= capacity and n & (n - 1) == 0 for n in sums.values()) and sum(n < capacity for n in sums.values()) <= capacity.bit_length()
+
+
+def test_few_documents_are_cut():
+    lengths = np.random.RandomState(2).randint(1, 2049, 4000)
+    doc, *_, seq, _ = packing.filled(lengths)
+    assert len(doc) < len(lengths) + seq.max() + 20  # each sequence cuts one document at most
+
+
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=8), st.integers(0, 200))
 @settings(max_examples=60, deadline=None)
 def test_sainte_lague(votes, seats):

@@ -10,16 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import Scratch, prepared
 
 CAPACITY = 2048
 END_ID = 1
-#: Pieces of one shard, about: what one window of the numbering holds.
-SHARD_PIECES = 1 << 19
-_PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Sequences of a task are numbered from its own number, times two to the power of this.
+_TASK_BITS = 36
 #: Words kept with their ids at most.
 _KNOWN_WORDS = 1_000_000
 
@@ -103,66 +103,90 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-def cuts(tokens: int, capacity: int = CAPACITY) -> list[int]:
-    """Lengths of a document's pieces: whole sequences, then the rest by its powers of two, so that each length is the capacity divided by a whole number."""
-    whole, rest = divmod(tokens, capacity)
-    return [capacity] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def filled(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, ...]:
+    """(document, start, length, sequence, offset) of the pieces of documents of these lengths, the sequences all full, or a power of two long.
 
-
-def pieces(docs: DataFrame, id_column: str, text_column: str, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens) of every piece of every document's ids."""
-    end = np.array([END_ID], "<u4").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
-        for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = memoryview(words.ids(text or "") + end)
-                total, start = len(ids) // 4, 0
-                for length in cuts(total, capacity):
-                    for column, value in zip(rows, (doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), total)):
-                        column.append(value)
-                    start += length
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return docs.select(F.col(id_column).cast("long"), text_column).mapInArrow(run, _PIECES)
-
-
-def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """Pieces with their sequence_id and the offset there; every sequence is full or its length is a power of two.
-
-    Harmonic packing: a bin of the class of length capacity / k takes k pieces.
-    Documents are cut so that each piece has exactly such a length, with k a power
-    of two; the pieces left over of a class in a shard go to sequences of 2**j of
-    them, which need no padding either. Classes and shards are numbered
-    independently, by the order of ids, so a rerun gives the same. Null and empty
-    texts are the end id alone; a null id stays null; rows that repeat are packed
-    each; other columns are dropped. An empty table gives an empty table.
+    Harmonic packing: what is left of a document after whole sequences has class
+    k if k of its length fit, but not k + 1. The longest go first; a bin of class
+    k takes k of them, whole. Its left space is filled from the shortest, which
+    are cut where it ends. If the last bin can't be filled, its pieces go to
+    sequences of the powers of two that make up their sum.
+    """
+    doc, start, size, seq, offset = ([] for _ in range(5))
+
+    def put(d: int, s: int, n: int, q: int, o: int) -> None:
+        doc.append(d)
+        start.append(s)
+        size.append(n)
+        seq.append(q)
+        offset.append(o)
+
+    number = 0
+    for d in np.flatnonzero(lengths >= capacity).tolist():
+        for s in range(0, int(lengths[d]) // capacity * capacity, capacity):
+            put(d, s, capacity, number, 0)
+            number += 1
+    rest = lengths % capacity
+    items = np.argsort(-rest, kind="stable")
+    items = items[rest[items] > 0].tolist()
+    begin, left = (lengths - rest).tolist(), rest.tolist()
+    i, j = 0, len(items) - 1
+    while i <= j:
+        held, k, used = [], capacity // left[items[i]], 0
+        for _ in range(k):
+            if i > j or (d := items[i], capacity // left[d])[1] != k:
+                break
+            held.append((d, begin[d], left[d]))
+            used += left[d]
+            i += 1
+        while used < capacity and i <= j:
+            d = items[j]
+            n = min(capacity - used, left[d])
+            held.append((d, begin[d], n))
+            begin[d], left[d], used = begin[d] + n, left[d] - n, used + n
+            j -= not left[d]
+        o, room = 0, capacity
+        if used < capacity:
+            room = 1 << used.bit_length() - 1
+        for d, s, n in held:
+            while n:
+                if o == room:
+                    used, o, number = used - room, 0, number + 1
+                    room = 1 << used.bit_length() - 1
+                part = min(n, room - o)
+                put(d, s, part, number, o)
+                s, n, o = s + part, n - part, o + part
+        number += 1
+    return tuple(np.array(x, np.int64) for x in (doc, start, size, seq, offset))
+
+
+def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """Pieces (id, start, length, ids_crc32, doc_tokens) with their sequence_id and the offset there; every sequence is full or its length is a power of two.
+
+    Each Arrow batch of documents is tokenized and packed by filled() on its own,
+    so nothing is shuffled: batches hold thousands of documents, and only what is
+    left of each goes to shorter sequences, which need no padding either. Null and
+    empty texts are the end id alone; a null id stays null; rows that repeat are
+    packed each; a very long text is packed as any other; other columns are
+    dropped, whatever their names. An empty table gives an empty table.
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     scratch = Scratch(prepared(docs.sparkSession), "packing")
-    found = scratch.stored(pieces(docs, id_column, text_column, path or vocabulary(), capacity))
-    shards = -(-found.count() // shard_pieces) or 1
-    group = Window.partitionBy("length", "shard")
-    numbered = (
-        found.withColumn("shard", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(shards)))
-        .withColumn("n", F.row_number().over(group.orderBy("id", "start", "ids_crc32", "doc_tokens")).cast("long") - 1)
-        .withColumn("of", F.count("*").over(group))
-        .withColumn("k", F.expr(f"{capacity} div length"))
-    )
-    # Of the left-over pieces, i belongs to the power of two that is the highest bit in which i and their number differ.
-    low = F.expr("i - i % shiftleft(1L, length(bin(i ^ rest)) - 1)")
-    placed = (
-        numbered.withColumn("bins", F.expr("of div k")).withColumn("rest", F.expr("of % k"))
-        .withColumn("i", F.expr("n - bins * k"))
-        .withColumn("first", F.when(F.col("i") >= 0, low).otherwise(F.lit(0)))
-    )
-    slot = F.when(F.col("i") >= 0, F.col("bins") + F.col("first")).otherwise(F.expr("n div k"))
-    within = F.when(F.col("i") >= 0, F.col("i") - F.col("first")).otherwise(F.expr("n % k"))
-    return placed.select(
-        F.col("id").alias(id_column), "start", "length", "ids_crc32", "doc_tokens",
-        (F.shiftleft((F.col("shard") * 64 + F.length(F.bin("length"))).cast("long"), 32) + slot).alias("sequence_id"),
-        (within * F.col("length")).alias("offset"),
-    )
+    names = [id_column, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    end, path = np.array([END_ID], "<u4").tobytes(), path or vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, number = WordIds(path), TaskContext.get().partitionId() << _TASK_BITS
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = [memoryview(words.ids(text or "") + end) for text in batch.column(1).to_pylist()]
+            lengths = np.array([len(x) // 4 for x in ids], np.int64)
+            doc, start, size, seq, offset = filled(lengths, capacity)
+            crc = [zlib.crc32(ids[d][4 * s : 4 * (s + n)]) for d, s, n in zip(doc.tolist(), start.tolist(), size.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, size, crc, lengths[doc], seq + number, offset))], names)
+            number += int(seq[-1]) + 1
+
+    pieces = docs.select(F.col(id_column).cast("long").alias(id_column), text_column).mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
+    return scratch.stored(pieces)  # a task that is run again, on other batches, would number its sequences anew
