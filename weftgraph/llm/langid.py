@@ -21,6 +21,7 @@ UNKNOWN = "und"
 #: Languages that can be told apart at most: their profiles go to every worker.
 MOST_LANGUAGES = 1000
 _UNIT = 1_000_000
+_LANGUAGES_TOGETHER = 64
 
 
 @lru_cache(maxsize=1)
@@ -83,37 +84,41 @@ def weights(counts: np.ndarray) -> np.ndarray:
 def profiles(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and their unit prototypes, from every row that has text and language.
 
-    A prototype is the bundle of its documents' vectors. Bundling is linear, so
-    trigram weights are summed in Spark, as whole numbers; what reaches the driver
-    is bounded by the number of trigrams and languages, whatever the input's size.
+    A prototype is the bundle of its documents' vectors. Each task bundles its own
+    documents, in whole numbers; the bundles are added in Spark, and one of each
+    language reaches the driver.
     """
     prepared(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def bundles() -> Iterator[pa.RecordBatch]:
+            for lang, total in sums.items():
+                out, codes = np.zeros(DIMENSIONS, np.int64), np.flatnonzero(total)
+                for at in range(0, len(codes), 4096):
+                    out += total[codes[at : at + 4096]] @ bound(codes[at : at + 4096]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(out)], ["lang", "place", "value"])
+            sums.clear()
+
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 codes, counts = grams(text)
                 if len(codes):
+                    if lang not in sums and len(sums) >= _LANGUAGES_TOGETHER:
+                        yield from bundles()
                     sums.setdefault(lang, np.zeros(SYMBOLS**3, np.int64))[codes] += np.rint(weights(counts) * _UNIT).astype(np.int64)
-        for lang, total in sums.items():
-            codes = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes, pa.int32()), pa.array(total[codes], pa.int64())], ["lang", "code", "weight"])
+        yield from bundles()
 
-    known = docs.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).where("text is not null and lang is not null")
-    sums = known.mapInArrow(run, "lang string, code int, weight long").groupBy("lang", "code").agg(F.sum("weight").alias("weight"))
-    found = sums.toPandas()
+    known = docs.select(F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang")).where("text is not null and lang is not null")
+    sums = known.mapInArrow(run, "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
+    found = sums.limit((MOST_LANGUAGES + 1) * DIMENSIONS).toPandas()
     langs = sorted(found["lang"].unique())
     if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MOST_LANGUAGES} can be told apart")
-    rows = []
-    for lang in langs:
-        own = found[found["lang"] == lang].sort_values("code")
-        total = np.zeros(DIMENSIONS)
-        for at in range(0, len(own), 4096):
-            total += own["weight"].to_numpy()[at : at + 4096].astype(float) @ bound(own["code"].to_numpy()[at : at + 4096].astype(np.int64)).astype(float)
-        rows.append(total / (np.linalg.norm(total) or 1))
-    return langs, np.array(rows).reshape(len(langs), DIMENSIONS)
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = np.zeros((len(langs), DIMENSIONS))
+    rows[found["lang"].map({lang: i for i, lang in enumerate(langs)}).to_numpy(dtype=int), found["place"].to_numpy(dtype=int)] = found["value"]
+    return langs, rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1)
 
 
 def identify(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
