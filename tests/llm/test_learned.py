@@ -1,7 +1,9 @@
 """Language and toxicity: what is learned holds on documents that were held out."""
 
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftgraph.llm import langid, toxicity
@@ -54,3 +56,29 @@ def test_toxicity_held_out(spark):
 def test_exceptions_take_back_their_term():
     matcher = toxicity.Matcher({" trash ": 3.0, " trash bin ": -3.0})
     assert matcher.measures("the trash bin")[0] == 0 and matcher.measures("you Tr4sh!")[0] > 1
+    matcher = toxicity.Matcher({" trash ": 3.0, " tras": 2.5, " trash bin ": -1.0, " the trash ": -1.0, " scum ": 4.0})
+    assert matcher.measures("the trash bin")[0] == 0 and matcher.measures("")[0] == 0
+    assert matcher.measures("the trash bin scum")[0] == math.log1p(4.0)
+    assert matcher.measures("trash, the trash bin")[0] == math.log1p(5.5)
+
+
+def test_matches_by_brute_force():
+    rnd = random.Random(5)
+    lexicon = {" ab ": 1.0, " ab": 0.5, " abc": 2.0, " ca ": 4.0, " ab ca ": -1.0, " ca ab ": -1.0, " b ca ": -1.0}
+    matcher = toxicity.Matcher(lexicon)
+    for _ in range(300):
+        text = toxicity.folded(" ".join(rnd.choice(["ab", "ca", "abc", "b", "abcd"]) for _ in range(rnd.randint(0, 12))))
+        at = {t: [i for i in range(len(text)) if text.startswith(t, i)] for t in lexicon}
+        hidden = [(i, i + len(t)) for t, w in lexicon.items() if w < 0 for i in at[t]]
+        want = sum(w for t, w in lexicon.items() if w > 0 for i in at[t] if not any(a <= i and i + len(t) <= b for a, b in hidden))
+        assert matcher.total(text) == want
+
+
+def test_prototypes_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(langid, "_LANGUAGES_TOGETHER", 1)
+    rows = [("tea ohio", "aa"), ("wuz jyx", "bb"), ("tea tea", "aa"), (None, "aa"), ("12", "bb"), ("x" * 5000, None)]
+    langs, found = langid.profiles(spark.createDataFrame(rows, "text string, lang string"))
+    assert langs == ["aa", "bb"]
+    for lang, row in zip(langs, found):
+        want = sum(langid.weights(c) @ langid.bound(g).astype(float) for t, own in rows if own == lang and t for g, c in [langid.grams(t)] if len(g))
+        assert abs(row - want / np.linalg.norm(want)).max() < 1e-4

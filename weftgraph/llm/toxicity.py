@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import string
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,6 @@ from weftgraph.llm.common import Scratch, id_remainder, prepared, widened
 
 #: Labelled rows of each class that are learned from at most: the first by a hash of the id.
 SAMPLE_ROWS = 10_000
-#: Lexicon terms and exception phrases at most, the strongest first: they go to every worker.
-LEXICON_TERMS = 4_000
 #: Documents of the toxic class a term must be in; the odds it must raise, as a logarithm.
 LEAST_DOCS, LEAST_ODDS = 5, 2.5
 PREFIXES = (4, 5, 6)
@@ -54,24 +54,36 @@ def _sketch(text: str) -> int:
 
 
 class Matcher:
-    """Total weight of a text's lexicon matches; an exception phrase takes back what its term adds."""
+    """Total weight of a text's lexicon matches, but for those that stand within an exception phrase (a term of negative weight)."""
 
     def __init__(self, lexicon: dict[str, float]):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
         for term, weight in lexicon.items():
-            self.automaton.add_word(term, weight)
+            self.automaton.add_word(term, (len(term), weight))
         if lexicon:
             self.automaton.make_automaton()
         self.empty = not lexicon
 
+    def total(self, text: str) -> float:
+        """Of a folded text."""
+        terms, phrases = [], []
+        for last, (size, weight) in self.automaton.iter(text):
+            (phrases if weight < 0 else terms).append((last + 1 - size, last + 1, weight))
+        if not phrases:
+            return sum(weight for _, _, weight in terms)
+        phrases.sort()
+        starts = [p[0] for p in phrases]
+        reach = list(accumulate((p[1] for p in phrases), max))  # the furthest end of the phrases that begin so early
+        return sum(weight for start, end, weight in terms if not (at := bisect_right(starts, start)) or reach[at - 1] < end)
+
     def measures(self, text: str) -> tuple[float, float]:
         """(total weight, weight for each word), as logarithms of one more."""
         if self.empty:
             return 0.0, 0.0
         text = folded(text)
-        total = max(0.0, sum(weight for _, weight in self.automaton.iter(text)))
+        total = self.total(text)
         return math.log1p(total), math.log1p(100 * total / (text.count(" ") or 1))
 
 
@@ -101,12 +113,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 30) -> np.ndarray:
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, allowed: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample_rows: int = SAMPLE_ROWS, lexicon_terms: int = LEXICON_TERMS) -> tuple[dict[str, float], list[float]]:
+def learn(docs: DataFrame, labels: DataFrame, allowed: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], list[float]]:
     """(lexicon with exception phrases, logistic weights) from labelled documents for which `allowed` holds.
 
     The sample is bounded (sample_rows of each class); near copies in it count
     once. A term's weight is the logarithm of the odds it raises. A phrase of a
-    term and a neighbouring word that is as common in clean texts is an exception.
+    term and a neighbouring word that is as common in clean texts is an exception:
+    no term within it counts. All that the bounded sample shows is kept.
     """
     scratch = Scratch(prepared(docs.sparkSession), "toxicity")
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(F.col("id").isNotNull() & allowed)
@@ -126,25 +139,20 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, id_column: str =
     if len(classes) < 2:
         return {}, [-5.0, 0.0, 0.0]
 
-    def odds(t: float, c: float) -> float:
-        return math.log((t + 0.5) / (classes[1] + 1)) - math.log((c + 0.5) / (classes[0] + 1))
-
     weight = F.log((F.col("toxic") + 0.5) / (classes[1] + 1)) - F.log((F.col("clean") + 0.5) / (classes[0] + 1))
     strong = _counted(once, features).withColumn("weight", weight).where((F.col("toxic") >= LEAST_DOCS) & (F.col("weight") >= LEAST_ODDS))
-    lexicon = {r["term"]: r["weight"] for r in strong.orderBy(F.desc("weight"), F.desc("toxic"), "term").limit(lexicon_terms).collect()}
+    lexicon = {r["term"]: r["weight"] for r in strong.orderBy("term").collect()}  # as many as the sample gives
 
     def phrases(text: str) -> set[str]:
         words = folded(text).split()
         found = set()
         for i, word in enumerate(words):
-            if f" {word} " in lexicon:
+            if f" {word} " in lexicon or any(len(word) > n and f" {word[:n]}" in lexicon for n in PREFIXES):
                 found |= {f" {a} {b} " for a, b in ((words[i - 1] if i else "", word), (word, words[i + 1] if i + 1 < len(words) else "")) if a and b}
         return found
 
-    common = _counted(once, phrases).where(F.col("clean") >= LEAST_DOCS)
-    for r in common.orderBy(F.desc("clean"), "term").limit(lexicon_terms).collect():
-        if odds(r["toxic"], r["clean"]) <= 0:
-            lexicon[r["term"]] = -sum(lexicon.get(f" {w} ", 0.0) for w in r["term"].split())
+    for r in _counted(once, phrases).withColumn("weight", weight).where((F.col("clean") >= LEAST_DOCS) & (F.col("weight") <= 0)).orderBy("term").collect():
+        lexicon[r["term"]] = -1.0
     matcher = Matcher(lexicon)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
