@@ -128,31 +128,158 @@ def test_archives(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-@given(st.binary(max_size=900))
+@given(st.lists(st.binary(max_size=900), max_size=4))
 @settings(max_examples=60, deadline=None)
-def test_media_round_trip(raw):
-    stored = media.encode(raw)
-    image, end = media.decode(stored)
-    assert end == len(stored) and media.payload_of([image]) == media.padded(raw)
-    assert (image.thumbnail.reshape(-1) == np.frombuffer(media.padded(raw), np.uint8)[::64]).all()
-
-
-def test_media_general_decoder_and_rows(spark, monkeypatch):
+def test_media_round_trip(raws):
+    stored = media.encode_all(raws)
+    assert stored == [media.encode(raw) for raw in raws]
+    for raw, images in zip(raws, media.decode_all(stored)):
+        assert media.payload_of(images) == media.padded(raw)
+        assert (images[0].thumbnail.reshape(-1) == np.frombuffer(media.padded(raw), np.uint8)[::64]).all()
+
+
+def plain_levels(data):
+    """Coefficients of a grey or two-component baseline JPEG, read bit by bit; of the first component, in the order of the scan."""
+    at, tables, restart, factors = 2, {}, 0, {}
+    while True:
+        marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        body, at = data[at + 4 : at + 2 + size], at + 2 + size
+        if marker == 0xC4:
+            while body:
+                kind, counts, code = body[0], body[1:17], 0
+                symbols, own = list(body[17 : 17 + sum(counts)]), {}
+                for n, count in enumerate(counts, 1):
+                    for _ in range(count):
+                        own[f"{code:0{n}b}"] = symbols.pop(0)
+                        code += 1
+                    code <<= 1
+                tables[kind], body = own, body[17 + sum(counts) :]
+        elif marker == 0xDD:
+            restart = int.from_bytes(body, "big")
+        elif marker == 0xC0:
+            height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            factors = {body[6 + 3 * i]: body[7 + 3 * i] for i in range(body[5])}
+        elif marker == 0xDA:
+            chosen = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
+            break
+    parts = re.split(rb"\xff[\xd0-\xd7]", data[at : data.rindex(b"\xff\xd9")])
+    many = len(chosen) > 1
+    h, v = max(f >> 4 for f in factors.values()) if many else 1, max(f & 15 for f in factors.values()) if many else 1
+    total, out = -(-width // (8 * h)) * -(-height // (8 * v)), []
+    for part in parts:
+        bits = "".join(f"{b:08b}" for b in part.replace(b"\xff\0", b"\xff"))
+        before, p = collections.Counter(), 0
+
+        def symbol(table):
+            nonlocal p
+            n = next(n for n in range(1, 17) if bits[p : p + n] in table)
+            p += n
+            return table[bits[p - n : p]]
+
+        def number(size):
+            nonlocal p
+            p += size
+            raw = int(bits[p - size : p] or "0", 2)
+            return raw if not size or raw >> size - 1 else raw - (1 << size) + 1
+
+        for _ in range(min(restart or total, total)):
+            total -= 1
+            for name, which in chosen:
+                for _ in range((factors[name] >> 4) * (factors[name] & 15) if many else 1):
+                    before[name] += number(symbol(tables[which >> 4]))
+                    block, k = [before[name]] + [0] * 63, 1
+                    while k < 64:
+                        s = symbol(tables[16 + (which & 15)])
+                        if s == 0:
+                            break
+                        k += s >> 4
+                        block[k] = number(s & 15)
+                        k += 1
+                    if name == chosen[0][0]:
+                        out.append(block)
+    return out
+
+
+def test_media_by_a_plain_decoder(spark):
+    rnd = random.Random(3)
+    for raw in (b"", bytes(range(256)) * 4, b"\xff" * 500, bytes(rnd.choices(b"etaoin shr", k=700))):
+        stored = media.encode(raw)
+        plain = plain_levels(stored)
+        assert (media.decode(stored).levels == np.array(plain)).all()
+        assert bytes((x if x > 0 else x + 255) if i else x + 128 for block in plain for i, x in enumerate(block)) == media.padded(raw)
+
+
+def written(width, height, factors, restart, rnd):
+    """A baseline JPEG of random coefficients with runs and early ends, each component with its own tables."""
+    symbols = [0x00, 0x03, 0x12, 0x31, 0xF0, 0x05, 0x42]
+    code = {s: f"{i:03b}" for i, s in enumerate(symbols)}
+    dc = {s: f"{s:04b}" for s in range(11)}
+    table = lambda kind, own, n: media._segment(0xC4, bytes([kind]) + bytes(len(own) if i == n else 0 for i in range(1, 17)) + bytes(own))
+    value = lambda size: "".join(rnd.choice("01") for _ in range(size))
+    many = len(factors) > 1
+    h, v = max(f >> 4 for f in factors) if many else 1, max(f & 15 for f in factors) if many else 1
+    total, scan = -(-width // (8 * h)) * -(-height // (8 * v)), b""
+    for start in range(0, total, restart or total):
+        bits = ""
+        for _ in range(start, min(total, start + (restart or total))):
+            for f in factors:
+                for _ in range((f >> 4) * (f & 15) if many else 1):
+                    size = rnd.randint(0, 4)
+                    bits += dc[size] + value(size)
+                    k = 1
+                    while k < 64:
+                        s = rnd.choice([x for x in symbols if k + (x >> 4) <= 63])
+                        bits += code[s]
+                        if s == 0:
+                            break
+                        bits += value(s & 15)
+                        k += (s >> 4) + 1
+        bits += "1" * (-len(bits) % 8)
+        scan += int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0") + bytes([0xFF, 0xD0 + start // (restart or total) % 8])
+    frame = media._segment(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(factors)]) + b"".join(bytes([i + 1, f, 0]) for i, f in enumerate(factors)))
+    tables = table(0, list(dc), 4) + table(0x10, symbols, 3)
+    head = media._segment(0xDA, bytes([len(factors)]) + b"".join(bytes([i + 1, 0]) for i in range(len(factors))) + bytes([0, 63, 0]))
+    between = media._segment(0xDD, restart.to_bytes(2, "big")) if restart else b""
+    return b"\xff\xd8" + media._segment(0xDB, bytes([0]) + bytes([3] * 64)) + frame + tables + between + head + scan[:-2] + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("factors", "restart"), [([0x11], 0), ([0x22], 4), ([0x11, 0x11], 3), ([0x22, 0x11], 0), ([0x21, 0x12], 2)])
+def test_general_images_by_a_plain_decoder(factors, restart):
+    rnd = random.Random(len(factors) * 10 + restart)
+    stored = [written(rnd.randint(1, 70), rnd.randint(1, 50), factors, restart, rnd) for _ in range(4)]
+    for data, (image,) in zip(stored, media.decode_all(stored)):
+        plain, (h, v) = plain_levels(data), (factors[0] >> 4, factors[0] & 15) if len(factors) > 1 else (1, 1)
+        wide = -(-image.width // (8 * max(f >> 4 for f in factors))) if len(factors) > 1 else image.thumbnail.shape[1]
+        place = {}
+        for i, block in enumerate(plain):
+            unit, part = divmod(i, h * v)
+            place[unit // wide * v + part // h, unit % wide * h + part % h] = block
+        down, across = image.thumbnail.shape
+        assert image.levels.tolist() == [place[y, x] for y in range(down) for x in range(across)]
+        assert (image.thumbnail.reshape(-1) == np.clip(np.rint(image.levels[:, 0] * 3 / 8 + 128), 0, 255)).all()
+
+
+def test_media_rows(spark, monkeypatch):
     stored = media.encode(bytes(range(256)) * 6)
-    fast = media.decode(stored)[0]
-    monkeypatch.setattr(media, "_even", lambda *a: None)
-    assert (media.decode(stored)[0].levels == fast.levels).all()
-    monkeypatch.undo()
+    for bad in (stored[: len(stored) // 2], b"", stored[2:]):
+        with pytest.raises((ValueError, IndexError)):
+            media.decode(bad)
+    texts = [None, "", "é" * 5000, "é" * 5000, "x" * 400_000]
+    rows = spark.createDataFrame([(None if i == 1 else i, t, 1, b"x") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int, media binary")
+    found = {r["doc_id"]: r for r in media.described(media.media_column(rows)).collect()}
+    for i, text in enumerate(texts):
+        r, raw = found[None if i == 1 else i], (text or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        means = np.frombuffer(payload, np.uint8)[::64].reshape(-1, 3).astype(float)
+        cells = [means[[y for y in range(len(means)) if y * 8 // len(means) == i]][:, [x for x in range(3) if x * 8 // 3 == j]] for i in range(8) for j in range(8)]
+        bright = "".join(str(int(c.size > 0 and c.sum() > means.mean() * c.size)) for c in cells)
+        assert r["feature"] == f"3x{len(means)}:{int(bright, 2):016x}" and r["media_sha256"] == hashlib.sha256(media.encode(raw)).hexdigest()
+    assert tuple(found[2])[1:] == tuple(found[3])[1:]
+    assert media.described(media.media_column(rows.limit(0))).count() == 0
     monkeypatch.setattr(media, "IMAGE_ROWS", 2)
     many = media.encode(b"abc" * 400)
-    assert many.count(b"\xff\xd8\xff") == 4
-    monkeypatch.undo()
-    with pytest.raises(ValueError):
-        media.decode(stored[: len(stored) // 2])
-    rows = spark.createDataFrame([(1, None), (2, ""), (3, "é" * 5000), (3, "é" * 5000)], "doc_id long, text string")
-    found = sorted((tuple(r) for r in media.described(media.media_column(rows)).collect()))
-    assert found[0][1:] == found[1][1:] and found[2] == found[3] and found[0][2] == 192 and found[2][1] == 10000
-    assert media.described(media.media_column(rows.limit(0))).count() == 0
+    assert many.count(b"\xff\xd8\xff") == 4 and media.payload_of(media.decode_all([many])[0]) == media.padded(b"abc" * 400)
 
 
 PAGE = '<html><head><title>T</title><script>var a="<p>x</p>";</script></head><body><nav><a href=/>Menu</a></nav><div class="cookie-notice">We use cookies</div><div class="post-{n}"><h1>Head{n}</h1><p>One <b>two</b>&amp;&eacute;\n three<br>four<p>Five &lt;six&gt; {long}<form><input value=x>send</form></div><div class="comments"><p>{reply}</p></div><aside>side</aside><footer>foot</footer></body></html>'
