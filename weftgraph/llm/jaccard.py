@@ -26,14 +26,16 @@ SEED = 42
 #: Texts whose numbers are broadcast at most, to pick them where they are read; of more, all texts are shuffled.
 BROADCAST_TEXTS = 200_000
 #: Characters a shingle takes, about; shingles of one bucket, about, and of one counter.
-SHINGLE_CHARS, BUCKET_SHINGLES, SLOT_SHINGLES = 6, 1 << 22, 256
+SHINGLE_CHARS, BUCKET_SHINGLES, SLOT_SHINGLES = 6, 1 << 20, 256
+#: Bytes of texts that are looked at together, about.
+CHUNK_BYTES = 1 << 21
 #: Counters: at least and at most, and how many go into a row.
 LEAST_SLOTS, MOST_SLOTS, SLOT_ROWS = 1 << 12, 1 << 22, 1 << 14
 #: A shingle is frequent if its counter has so much, and so many times the mean of all counters.
 FREQUENT, FREQUENT_TIMES = 1000, 4
 #: Texts of one shingle that are compared in one task; more are compared block by block.
 BLOCK_ROWS = 20_000
-_KNOWN_WORDS = 1_000_000
+_KNOWN_WORDS = 200_000
 _TIMES = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(64)]
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _REFS, _SEEN = np.dtype("<u2"), np.dtype("<u2")
@@ -78,6 +80,18 @@ class Shingler:
         return np.concatenate(out) if out else np.zeros(0, np.uint64), sizes
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(rows, texts) of a few texts at a time."""
+    for batch in batches:
+        rows, raws = batch.column(0).to_numpy(), as_bytes(batch.column(1))
+        start = size = 0
+        for i, raw in enumerate(raws):
+            size += len(raw)
+            if size >= CHUNK_BYTES or i + 1 == len(raws):
+                yield rows[start : i + 1], raws[start : i + 1]
+                start, size = i + 1, 0
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets' Jaccard similarity is four fifths or more; two empty sets are alike."""
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
@@ -124,11 +138,11 @@ def described(texts: DataFrame, slots: int, words: int, fingerprint: object) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(words), np.zeros(slots, np.int64)
-        for batch in batches:
-            hashes, sizes = shingler(as_bytes(batch.column(1)))
+        for rows, raws in _chunks(batches):
+            hashes, sizes = shingler(raws)
             counts += np.bincount((hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
             sets = _split(hashes, sizes)
-            columns = [batch.column(0), pa.array(sizes.astype(np.int32)), pa.array([fingerprint(x) for x in sets], pa.int64()), pa.array([parity(x) for x in sets], pa.binary())]
+            columns = [pa.array(rows), pa.array(sizes.astype(np.int32)), pa.array([fingerprint(x) for x in sets], pa.int64()), pa.array([parity(x) for x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(sets), k) for k in kinds[4:])], names)
         at = [i for i in range(0, slots, step) if counts[i : i + step].any()]
         yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), k) for k in kinds[:4]), pa.array(at, pa.int32()), pa.array([counts[i : i + step].tobytes() for i in at], pa.binary())], names)
@@ -156,7 +170,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-#: A row holds what a group of texts (one batch) has in a bucket of shingles: a text's place in its group, and the shingle's 32 bits below the bucket's.
+#: A row holds what a group of texts (looked at together) has in a bucket of shingles: a text's place in its group, and the shingle's 32 bits below the bucket's.
 #: Of a group without a bucket: its texts' numbers and sizes, and their frequent shingles.
 _GROUPS = "bucket long, grp long, refs binary, shingles binary, seen binary, rows binary, sizes binary"
 _GROUP_NAMES = [x.split()[0] for x in _GROUPS.split(", ")]
@@ -170,11 +184,8 @@ def _group_table(rows: list[tuple]) -> pa.RecordBatch:
 def _dealt(batches: Iterator[pa.RecordBatch], bits: int, words: int, counts: np.ndarray, frequent: int) -> Iterator[pa.RecordBatch]:
     """Texts (row, text) -> their shingles by bucket."""
     shingler, slots = Shingler(words), len(counts)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = batch.column(0).to_numpy()
-        hashes, sizes = shingler(as_bytes(batch.column(1)))
+    for rows, raws in _chunks(batches):
+        hashes, sizes = shingler(raws)
         refs = np.repeat(np.arange(len(rows)), sizes).astype(_REFS)
         seen = counts[(hashes & np.uint64(slots - 1)).astype(np.int64)]
         often = seen >= frequent
