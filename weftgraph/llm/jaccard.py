@@ -35,6 +35,8 @@ LEAST_SLOTS, MOST_SLOTS, SLOT_ROWS = 1 << 12, 1 << 22, 1 << 14
 FREQUENT, FREQUENT_TIMES = 1000, 4
 #: Texts of one shingle that are compared in one task; more are compared block by block.
 BLOCK_ROWS = 20_000
+#: Texts of a shingle that all its others are compared with at first, whatever their number: the same for most shingles of a group of copies.
+CENTRES = 8
 _KNOWN_WORDS = 200_000
 _TIMES = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(64)]
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -363,7 +365,7 @@ def components(scratch: Scratch, texts: DataFrame, links_of: object, fingerprint
     """(row, root) of every text of (row, text), whose rows are numbers of their own: texts with the same root are linked by similar pairs.
 
     Candidates are first the texts that links_of() finds by their fingerprints,
-    and each token's texts with one of them, so that a group of near copies is
+    and each token's texts with a few of them, so that a group of near copies is
     mostly one component before all other pairs are looked at; pairs within a
     component are left out, which changes no component. All candidates are
     confirmed on their whole sets of shingles.
@@ -399,9 +401,10 @@ def components(scratch: Scratch, texts: DataFrame, links_of: object, fingerprint
     by_print = links_of(scratch, sizes.where("n > 0").select("fp").distinct())
     joined = sizes.where("n > 0").join(by_print, sizes.fp == by_print.node, "left").select("row", F.coalesce("component", "fp").alias("c"))
     by_print = joined.join(joined.groupBy("c").agg(F.min("row").alias("low"), F.count("*").alias("k")).where("k > 1"), "c").select(F.col("low").alias("a"), F.col("row").alias("b"))
-    lists = scratch.stored(early.groupBy("token").agg(F.min("row").alias("low"), F.count("*").alias("k")).where("k > 1"))
+    centres = F.array_distinct(F.array(*(F.min_by("row", F.xxhash64("row", F.lit(i))) for i in range(CENTRES))))
+    lists = scratch.stored(early.groupBy("token").agg(centres.alias("centres"), F.count("*").alias("k")).where("k > 1"))
     shared = early.join(lists, "token")
-    links = confirmed(by_print.unionByName(shared.select(F.col("low").alias("a"), F.col("row").alias("b"))))
+    links = confirmed(by_print.unionByName(shared.select(F.explode("centres").alias("a"), F.col("row").alias("b"))))
     near = scratch.stored(connected_components(scratch, links).withColumnRenamed("node", "row"))
     placed = scratch.stored(shared.join(near, "row", "left").select("token", "row", "n", "at", "k", F.coalesce("component", "row").alias("component")))
     open_ = scratch.stored(placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token"))
