@@ -69,10 +69,6 @@ def issue_references(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: x.cast("bigint")))
 
 
-def url_path(url: Column) -> Column:
-    return F.regexp_replace(url, r"^[a-z]+://[^/]*/?", "")
-
-
 def project_path(path: Column) -> Column:
     """Forward slashes, without a leading ./repos/ and without the first component."""
     plain = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^\./repos/", "")

@@ -60,13 +60,17 @@ def remapped(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return first.join(ids.withColumnRenamed("_old", "_other"), F.col("target") == F.col("_other")).select(F.col("_s").alias("source"), F.col("ID").alias("target"), *rest)
 
 
-def filtered_subgraph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of functions' subgraphs: edges with both nodes in their function, once each, re-numbered over all functions."""
+def subgraph_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges (func_id, source, target) with both nodes in their function, once each."""
     ids = nodes.select("func_id", "node_id").distinct()
-    fine = edges
     for end in ("source", "target"):
-        fine = fine.join(ids.withColumnRenamed("node_id", end), ["func_id", end], "left_semi")
-    fine = fine.select("func_id", "source", "target").distinct()
+        edges = edges.join(ids.withColumnRenamed("node_id", end), ["func_id", end], "left_semi")
+    return edges.select("func_id", "source", "target").distinct()
+
+
+def filtered_subgraph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of functions' subgraphs: edges with both nodes in their function, once each, re-numbered over all functions."""
+    fine = subgraph_edges(nodes, edges)
     used = fine.select("func_id", F.col("source").alias("node_id")).union(fine.select("func_id", F.col("target").alias("node_id"))).distinct()
     numbered = dense_ids(nodes.join(used, ["func_id", "node_id"], "left_semi"), ["func_id", "node_id"], "ID")
     by = numbered.select("func_id", "node_id", "ID")
@@ -80,10 +84,10 @@ def leaf_chain(nodes: DataFrame, group: str, order: str) -> DataFrame:
     return nodes.select(group, F.col(order).alias("source"), following.alias("target")).where("target is not null")
 
 
-def scoped(uses: DataFrame, scopes: DataFrame, keys: list[str], at: str, start: str, end: str, declared: str) -> DataFrame:
-    """Each use with the scope around it that was declared last: an equi-join on keys with a range, then one row for each use."""
+def scoped(uses: DataFrame, scopes: DataFrame, keys: list[str], use: list[str], at: str, start: str, end: str, declared: str) -> DataFrame:
+    """Each use (told apart by its own columns) with the scope around it that was declared last: an equi-join on keys with a range, then one row for each use."""
     joined = uses.join(scopes, keys).where(F.col(at).between(F.col(start), F.col(end)))
-    return keep_first(joined, [*keys, at], [F.col(declared).desc()])
+    return keep_first(joined, use, [F.col(declared).desc()])
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:

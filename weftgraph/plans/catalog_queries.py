@@ -66,9 +66,8 @@ def E1_import_nodes(spark, d):
 @query("""WITH n AS (SELECT row_number() OVER (ORDER BY event_type) AS id, event_type FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL))
           SELECT n.id AS source, c_custkey AS target FROM (SELECT DISTINCT event_type, user_id FROM events) e JOIN n USING (event_type) JOIN customer ON c_custkey = user_id""")
 def E1_import_edges(spark, d):
-    nodes = E.grouped_nodes(t(spark, d, "events"), ["event_type"], "user_id", "users", drop_null_keys=True)
-    members = nodes.select(c("ID").alias("source"), F.explode("users").alias("c_custkey"))
-    return members.join(t(spark, d, "customer"), "c_custkey").select("source", c("c_custkey").alias("target"))
+    imports = t(spark, d, "events").select(c("event_type").alias("name"), F.lit("m").alias("from"), F.lit("a").alias("as_name"), c("user_id").alias("file_id"))
+    return E.import_tables(imports, t(spark, d, "customer").select(c("c_custkey").alias("file_id"), c("c_custkey").alias("ID")))[1]
 
 
 _EXTERNAL = "SELECT user_id, (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY user_id) AS id FROM (SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier))"
@@ -139,7 +138,7 @@ def J17_scope_interval(spark, d):
     events = t(spark, d, "events")
     uses = events.where("event_type = 'click'").select("user_id", "event_id", "ts")
     scopes = events.where("event_type = 'error'").select("user_id", c("event_id").alias("scope"), c("ts").alias("start"), (c("ts") + F.expr("INTERVAL 6 HOURS")).alias("end"))
-    return L.keep_first(uses.join(scopes, "user_id").where("ts BETWEEN start AND end"), ["event_id"], [c("scope").desc()]).select("event_id", "scope")
+    return L.scoped(uses, scopes, ["user_id"], ["event_id"], "ts", "start", "end", "scope").select("event_id", "scope")
 
 
 @query("""WITH h AS (SELECT l_partkey, year(l_shipdate) % 2 AS odd, sha256(CAST(CAST(sum(l_quantity) AS BIGINT) AS VARCHAR)) AS h FROM lineitem GROUP BY ALL)
@@ -152,9 +151,10 @@ def J22_changed(spark, d):
 @query("""WITH n AS (SELECT name, row_number() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part))
           SELECT id AS source, p_partkey AS target FROM part JOIN n ON name = split_part(p_name, ' ', 1)""")
 def J9_class_function(spark, d):
-    owned = t(spark, d, "part").select("p_partkey", F.substring_index("p_name", " ", 1).alias("name"))
-    nodes = dense_ids(owned.select("name").distinct(), ["name"], "source", 1)
-    return owned.join(nodes, "name").select("source", c("p_partkey").alias("target"))
+    owner = F.substring_index("p_name", " ", 1)
+    parts = t(spark, d, "part")
+    classes = parts.select(owner.alias("name"), F.array().cast("array<string>").alias("base_classes"), c("p_partkey").alias("cls_id"), F.lit("f").alias("file_id"))
+    return E.class_tables(classes, parts.select(c("p_partkey").alias("ID"), S.qualified_name(owner, F.lit("f")).alias("combinedName")))[1]
 
 
 @query("WITH n AS (SELECT row_number() OVER (ORDER BY event_type) AS id FROM (SELECT DISTINCT event_type FROM events)) SELECT q AS source, id AS target FROM n, (VALUES (0::BIGINT), (1), (2), (3)) v(q)")
@@ -215,10 +215,7 @@ def F16_json(spark, d):
 @query("SELECT a.l_orderkey AS func_id, a.l_linenumber AS source, b.l_linenumber AS target FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1")
 def J4_subgraph_edges(spark, d):
     nodes = t(spark, d, "lineitem").select(c("l_orderkey").alias("func_id"), c("l_linenumber").alias("node_id"))
-    wanted = nodes.select("func_id", c("node_id").alias("source"), (c("node_id") + 1).alias("target"))
-    for end in ("source", "target"):
-        wanted = wanted.join(nodes.select("func_id", c("node_id").alias(end)), ["func_id", end], "left_semi")
-    return wanted.select("func_id", "source", "target").distinct()
+    return L.subgraph_edges(nodes, nodes.select("func_id", c("node_id").alias("source"), (c("node_id") + 1).alias("target")))
 
 
 @query("""WITH n AS (SELECT DISTINCT l_orderkey AS f, l_linenumber AS n FROM lineitem), e AS (SELECT a.f, a.n AS s, b.n AS t FROM n a JOIN n b ON a.f = b.f AND b.n = a.n + 1),
@@ -232,14 +229,14 @@ def M13_subgraph_reindex(spark, d):
 _PATHS = "SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages WHERE url IS NOT NULL"
 
 
-@query(f"""WITH p AS (SELECT string_split(path, '/') AS x FROM ({_PATHS})), a AS (SELECT DISTINCT array_to_string(x[1:i], '/') AS path FROM p, unnest(range(1, len(x) + 1)) r(i))
-           SELECT b.path AS source, a.path AS target FROM a JOIN a b ON b.path = regexp_replace(a.path, '/[^/]*$', '') WHERE contains(a.path, '/')""")
+@query(f"""WITH p AS ({_PATHS}), x AS (SELECT string_split(path, '/') AS x FROM p), f AS (SELECT DISTINCT CASE WHEN i = 0 THEN '' ELSE array_to_string(x[1:i], '/') END AS path FROM x, unnest(range(0, len(x))) r(i)),
+           n AS (SELECT path, folder, row_number() OVER (ORDER BY path, folder) - 1 AS id FROM (SELECT path, FALSE AS folder FROM p UNION ALL SELECT path, TRUE FROM f))
+           SELECT b.id AS source, a.id AS target FROM n a JOIN n b ON b.folder AND a.path <> '' AND b.path = CASE WHEN contains(rtrim(a.path, '/'), '/') THEN regexp_replace(rtrim(a.path, '/'), '/[^/]*$', '') ELSE '' END""")
 def J8_file_tree(spark, d):
+    from weftgraph.sources.files import file_table
+
     paths = t(spark, d, "pages").where("url is not null").select(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path")).distinct()
-    parts = F.split("path", "/")
-    nodes = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path")).distinct()
-    inside = nodes.where(c("path").contains("/")).select(F.regexp_replace("path", "/[^/]*$", "").alias("source"), c("path").alias("target"))
-    return inside.join(nodes.select(c("path").alias("source")), "source", "left_semi").select("source", "target")
+    return E.file_tables(file_table(paths.withColumn("content", F.lit(None).cast("binary"))))["file_edges"]
 
 
 @query("""WITH b AS (SELECT page_id, regexp_extract(regexp_replace(url, '/+$', ''), '[^/]*$') AS base FROM pages)
@@ -289,15 +286,18 @@ def E7_issue_pr(spark, d):
     return E.issue_links(pulls, t(spark, d, "supplier").select(c("s_suppkey").alias("ID")))
 
 
-@query("SELECT DISTINCT o_custkey AS source, l_partkey AS target, o_orderkey AS pr_number FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+@query("""WITH k AS (SELECT DISTINCT c_custkey FROM customer), a AS (SELECT CAST(c_custkey AS VARCHAR) AS login, 0 AS late FROM k UNION ALL SELECT DISTINCT CAST(o_custkey AS VARCHAR), 1 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM k)),
+          n AS (SELECT login, row_number() OVER (ORDER BY late, login) AS id FROM a)
+          SELECT DISTINCT n.id AS source, l_partkey AS target, o_orderkey AS pr_number FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN n ON login = CAST(o_custkey AS VARCHAR)""")
 def E8_author_function(spark, d):
-    by = t(spark, d, "orders").select(c("o_orderkey").alias("pr_number"), c("o_custkey").alias("source"))
-    return t(spark, d, "lineitem").select(c("l_orderkey").alias("pr_number"), c("l_partkey").alias("target")).join(by, "pr_number").select("source", "target", "pr_number").distinct()
+    pulls = t(spark, d, "orders").select(c("o_orderkey").alias("ID"), c("o_custkey").cast("string").alias("author_login"))
+    people = t(spark, d, "customer").select(c("c_custkey").cast("string").alias("login"), F.lit("").alias("email"), c("c_name").alias("name"))
+    return E.developer_tables(people, pulls, t(spark, d, "lineitem").select(c("l_orderkey").alias("source"), c("l_partkey").alias("target")))[1]
 
 
 @query("SELECT c_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def J16_keep_last(spark, d):
-    last = t(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
+    last = L.keep_first(t(spark, d, "orders"), ["o_custkey"], [c("o_orderdate").desc(), c("o_orderkey").desc()])
     return t(spark, d, "customer").join(last, c("c_custkey") == c("o_custkey"), "left").select("c_custkey", "o_orderkey")
 
 
@@ -369,9 +369,14 @@ def F4_split(spark, d):
     return named.select("p_partkey", S.class_part(c("n")).alias("class_name"), S.function_part(c("n")).alias("function_name"))
 
 
-@query("SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS path FROM pages")
+@query("SELECT page_id, CASE WHEN contains(url, '/') THEN regexp_replace(url, '^[^/]*/', '') ELSE '' END AS path FROM pages WHERE url IS NOT NULL")
 def F13_path(spark, d):
-    return t(spark, d, "pages").select("page_id", S.url_path(c("url")).alias("path"))
+    return t(spark, d, "pages").where("url is not null").select("page_id", S.project_path(F.concat(F.lit("./repos/"), c("url"))).alias("path"))
+
+
+@query("SELECT page_id, split_part(url, '.', 1) AS first, CASE WHEN contains(url, '.') THEN regexp_replace(url, '^[^.]*[.]', '', 's') END AS rest FROM pages WHERE url IS NOT NULL")
+def F3_parts(spark, d):
+    return t(spark, d, "pages").where("url is not null").select("page_id", S.first_part(c("url")).alias("first"), S.after_first_part(c("url")).alias("rest"))
 
 
 @query("SELECT doc_id, split_part(regexp_replace(text, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g'), chr(10), 1) AS line FROM documents")
@@ -396,12 +401,15 @@ def U4_intersect(spark, d):
     return t(spark, d, "events").select("user_id").distinct().join(t(spark, d, "customer").select(c("c_custkey").alias("user_id")), "user_id", "left_semi")
 
 
-@query("SELECT page_id, CASE WHEN contains(url, '.py') THEN 'python' END AS lang, length(url) > 40 AS long FROM pages")
+_ENDS = ["py", "pyi", "PY", "cpp", "C", "c", "h", "erl", "hrl", "txt", "x.py", ""]
+
+
+@query("""SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'python' WHEN 1 THEN 'python' WHEN 3 THEN 'cpp' WHEN 4 THEN 'cpp' WHEN 6 THEN 'cpp' WHEN 7 THEN 'erlang' WHEN 8 THEN 'erlang' WHEN 10 THEN 'python' END AS lang FROM pages""")
 def S4_language(spark, d):
     from weftgraph.sources.files import language
 
-    path = F.when(c("url").contains(".py"), F.lit("a/b.py")).otherwise(F.lit("a/b.txt"))
-    return t(spark, d, "pages").select("page_id", language(path).alias("lang"), (F.length("url") > 40).alias("long"))
+    end = F.element_at(F.array(*(F.lit(e) for e in _ENDS)), (c("page_id") % len(_ENDS) + 1).cast("int"))
+    return t(spark, d, "pages").select("page_id", language(F.concat(F.lit("a.b/page"), c("page_id").cast("string"), F.lit("."), end)).alias("lang"))
 
 
 def T1_call_graph(spark: SparkSession, d: str) -> DataFrame:

@@ -16,13 +16,13 @@ DEVELOPER_MODES = ("contributors", "pr_authors", "commit_authors")
 
 
 def history_tables(issues: DataFrame, pulls: DataFrame, pr_files: DataFrame, functions: DataFrame, most_issues: int = 0, most_pulls: int = 100, done: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The five tables of issues and pull requests on functions that are known: nodes, their links, and which functions pull requests change."""
+    """The five tables of issues and pull requests on functions that are known: nodes, their links, which functions pull requests change, and those functions."""
     issue_nodes, pull_nodes = N.issue_nodes(issues, most_issues), stored(N.pull_nodes(pulls, most_pulls, done), "pulls")
     bodies = pulls.select(F.col("number").alias("ID"), "body", F.transform("comments", lambda c: c["body"]).alias("said")).join(pull_nodes.select("ID"), "ID", "left_semi")
     changed = changed_functions(pr_files.join(pull_nodes.select(F.col("ID").alias("number")), "number", "left_semi"))
     return {
         "issue_nodes": issue_nodes, "pr_nodes": pull_nodes.select("ID", "pr_title", "pr_body", "pr_open"), "issue_pr_edges": E.issue_links(bodies, issue_nodes, "body", "said"),
-        "pr_function_edges": E.pull_function_edges(changed, functions),
+        "pr_function_edges": E.pull_function_edges(changed, functions), "function_nodes": functions,
     }
 
 
