@@ -37,6 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = _SCRATCH.get(context.applicationId)
         if configured is None:
             configured = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
