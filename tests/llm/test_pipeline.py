@@ -74,16 +74,23 @@ def test_one_row_of_each_component(spark):
     assert sorted((repr((r["doc_id"], r["text"], r["lang"], r["n_chars"])) for r in kept)) == sorted(map(repr, want))
 
 
-def test_parity_loses_no_similar_pair():
+def test_parity_loses_no_similar_pair(monkeypatch):
     rng = np.random.RandomState(1)
-    kept = 0
+    pairs = []
     for _ in range(2000):
         both = rng.randint(0, 1 << 62, rng.randint(1, 300)).astype(np.uint64)
-        a, b = (np.unique(np.append(both, rng.randint(0, 1 << 62, rng.randint(0, len(both) // 3 + 1)).astype(np.uint64))) for _ in range(2))
-        may = jaccard.may_be_similar(len(a), len(b), jaccard.parity(a), jaccard.parity(b))
-        assert may or not jaccard.similar(a, b)
-        kept += jaccard.similar(a, b)
-    assert kept > 200
+        pairs.append([np.unique(np.append(both, rng.randint(0, 1 << 62, rng.randint(0, len(both) // 3 + 1)).astype(np.uint64))) for _ in range(2)])
+    similar = np.array([jaccard.similar(a, b) for a, b in pairs])
+    sizes, bits = ([[of(p[i]) for p in pairs] for i in (0, 1)] for of in (len, jaccard.parity))
+    n, m = map(np.array, sizes)
+    may = jaccard.may_be_similar(n, m, *bits)
+    assert similar.sum() > 200 and may[similar].all() and not may[~similar].all()
+    monkeypatch.setattr(jaccard, "COMPARED_BYTES", 1000)  # a few pairs at a time
+    assert (jaccard.may_be_similar(n, m, *bits) == may).all()
+    monkeypatch.setattr(jaccard, "NARROW_BYTES", 32)
+    narrow = jaccard.may_be_similar(n, m, *([jaccard.narrowed(x) for x in of] for of in bits))
+    assert narrow[may].all() and max(map(len, map(jaccard.narrowed, bits[0]))) == 32
+    assert jaccard.may_be_similar(n[:0], m[:0], [], []).shape == (0,)
 
 
 def test_near_duplicates_by_jaccard(spark):

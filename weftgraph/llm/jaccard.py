@@ -35,6 +35,10 @@ LEAST_SLOTS, MOST_SLOTS, SLOT_ROWS = 1 << 12, 1 << 22, 1 << 14
 FREQUENT, FREQUENT_TIMES = 1000, 4
 #: Texts of one shingle that are compared in one task; more are compared block by block.
 BLOCK_ROWS = 20_000
+#: Bytes of a text's parities that go along with each of its shingles, and bytes of parities that are compared at once, about.
+NARROW_BYTES, COMPARED_BYTES = 256, 1 << 23
+#: Pairs of one task that are held until they are looked at.
+HELD_PAIRS = 1 << 18
 #: Texts of a shingle that all its others are compared with at first, whatever their number: the same for most shingles of a group of copies.
 CENTRES = 8
 _KNOWN_WORDS = 200_000
@@ -100,19 +104,36 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def parity(found: np.ndarray) -> bytes:
-    """Bits, about as many as the set has members, each the parity of the members that fall on it."""
-    width = 1 << max(3, len(found).bit_length())
+    """Bits, four to eight times as many as the set has members, each the parity of the members that fall on it."""
+    width = 1 << max(3, len(found).bit_length() + 2)
     return np.packbits(np.bincount((found >> np.uint64(32) & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1).tobytes()
 
 
-def may_be_similar(n: int, m: int, a: bytes, b: bytes) -> bool:
-    """False only for sets that aren't similar: those differ in at least as many members as their parities (folded to one width) do in bits."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return 9 * int(np.bitwise_count(x ^ y).sum()) <= n + m
+def _folded(a: np.ndarray, width: int) -> np.ndarray:
+    """Rows of parities, folded to so many bytes."""
+    while a.shape[1] > width:
+        half = a.shape[1] // 2
+        a = a[:, :half] ^ a[:, half:]
+    return a
+
+
+def narrowed(bits: bytes) -> bytes:
+    """A set's parities in NARROW_BYTES at most: a weaker bound, but still one."""
+    return _folded(np.frombuffer(bits, np.uint8).reshape(1, -1), NARROW_BYTES).tobytes()
+
+
+def may_be_similar(n: np.ndarray, m: np.ndarray, a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Of each pair of sets, their sizes and parities: false only if they aren't similar. Sets differ in at least as many members as their parities (folded to one width) do in bits."""
+    out = np.zeros(len(n), bool)
+    widths = np.array([[len(x), len(y)] for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    for wa, wb in np.unique(widths, axis=0).tolist():
+        same = np.flatnonzero((widths[:, 0] == wa) & (widths[:, 1] == wb))
+        step = max(1, COMPARED_BYTES // (wa + wb))
+        for at in (same[i : i + step] for i in range(0, len(same), step)):
+            x, y = (np.frombuffer(b"".join([of[i] for i in at.tolist()]), np.uint8).reshape(len(at), w) for of, w in ((a, wa), (b, wb)))
+            differ = np.bitwise_count(_folded(x, min(wa, wb)) ^ _folded(y, min(wa, wb))).sum(axis=1, dtype=np.int64)
+            out[at] = 9 * differ <= n[at] + m[at]
+    return out
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -304,19 +325,23 @@ def _keys_together(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tup
         yield columns(held)
 
 
-def _pairs_of(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    both = np.stack([np.concatenate(a), np.concatenate(b)], axis=1)
-    both = np.unique(np.sort(both, axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+def _pairs_of(a: list[np.ndarray], b: list[np.ndarray], row: np.ndarray, n: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    """(a, b) of the places' rows, once each, but for those that their parities tell apart."""
+    x, y = np.concatenate(a), np.concatenate(b)
+    _, first = np.unique(np.sort(np.stack([row[x], row[y]], axis=1), axis=1), axis=0, return_index=True)
+    x, y = x[first], y[first]
+    may = may_be_similar(n[x], n[y], bits[x].tolist(), bits[y].tolist())
+    x, y = row[x[may]], row[y[may]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs that share a token, are not in one component yet, and whose sizes and places leave room for the similarity.
+    """All pairs that share a token, are not in one component yet, and whose sizes, places and parities leave room for the similarity.
 
-    Rows are (token, one block, other block, n, row, at, component, own block)
-    sorted by the first four.
+    Rows are (token, one block, other block, n, row, at, component, own block,
+    narrowed parities) sorted by the first four.
     """
-    for token, one, other, n, row, at, component, own in _keys_together(batches, 3):
+    for token, one, other, n, row, at, component, own, bits in _keys_together(batches, 3):
         starts = _starts(token, one, other)
         ends = np.append(starts[1:], len(token))
         a, b, held, n, left = [], [], 0, n.astype(np.int64), n.astype(np.int64) - at
@@ -329,21 +354,27 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if two:
                     fit &= own[j] != own[i]
                 if fit.any():
-                    b.append(row[j][fit])
-                    a.append(np.full(len(b[-1]), row[i]))
+                    b.append(i + 1 + np.flatnonzero(fit))
+                    a.append(np.full(len(b[-1]), i))
                     held += len(b[-1])
-                    if held > 1 << 20:
-                        yield _pairs_of(a, b)
+                    if held > HELD_PAIRS:
+                        yield _pairs_of(a, b, row, n, bits)
                         a, b, held = [], [], 0
         if a:
-            yield _pairs_of(a, b)
+            yield _pairs_of(a, b, row, n, bits)
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of the rows (a, b, size and parity of a, size and parity of b) that may be similar."""
     for batch in batches:
-        n, x, m, y = (batch.column(i).to_pylist() for i in range(2, 6))
-        yield batch.select([0, 1]).filter(pa.array(list(map(may_be_similar, n, m, x, y)), pa.bool_()))
+        n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
+        yield batch.select([0, 1]).filter(pa.array(may_be_similar(n, m, batch.column(3).to_pylist(), batch.column(5).to_pylist())))
+
+
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, bits) with bits narrowed."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([narrowed(x) for x in batch.column(1).to_pylist()], pa.binary())], ["row", "bits"])
 
 
 def rare_prefixes(scratch: Scratch, texts: DataFrame, sizes: DataFrame, counters: DataFrame, slots: int, words: int) -> DataFrame:
@@ -409,10 +440,11 @@ def components(scratch: Scratch, texts: DataFrame, links_of: object, fingerprint
     placed = scratch.stored(shared.join(near, "row", "left").select("token", "row", "n", "at", "k", F.coalesce("component", "row").alias("component")))
     open_ = scratch.stored(placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token"))
     blocks = F.expr(f"cast(ceil(k / {block_rows}) as int)")
+    narrow = sizes.select("row", "bits").mapInArrow(_narrow, "row long, bits binary")
     cells = (
-        placed.join(open_, "token").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+        placed.join(open_, "token").join(narrow, "row").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "n", "row", "at", "component", "own")
+        .select("token", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "n", "row", "at", "component", "own", "bits")
     )
     more = links.limit(0) if open_.isEmpty() else confirmed(cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "row").mapInArrow(_across, "a long, b long"))
     final = scratch.stored(connected_components(scratch, links.unionByName(more)).withColumnRenamed("node", "row"))
