@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from weftgraph.session import _remove, shared_folder, ship_package
 
 #: An Arrow batch given to Python ends at whichever comes first, so that long texts make short batches.
 BATCH_ROWS, BATCH_BYTES = 20_000, 8 << 20
+#: The C library's number of the setting for what is large, and that size: arrays from it on go back to the system when freed.
+_MMAP_THRESHOLD, LARGE_BYTES = -3, 1 << 20
 _EDGES_TOGETHER = 1 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -63,6 +67,30 @@ class Scratch:
                 _remove(self.spark, found[0])
 
 
+def _libc(name: str, *args: int) -> None:
+    call = getattr(ctypes.CDLL(None), name, None)  # of the GNU C library alone
+    if call is not None:
+        call(*args)
+
+
+def lean(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """run(batches, ...) for mapInArrow that gives memory back: large arrays as they are freed, all that is free when the task ends.
+
+    Workers are used again by later tasks, and would hold on to it.
+    """
+
+    @functools.wraps(run)
+    def whole(*args: object) -> Iterator[pa.RecordBatch]:
+        _libc("mallopt", _MMAP_THRESHOLD, LARGE_BYTES)
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _libc("malloc_trim", 0)
+
+    return whole
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -100,6 +128,7 @@ def id_remainder(id_column: str, divisor: int) -> Column:
     return F.crc32(F.col(id_column).cast("string")) % divisor
 
 
+@lean
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) -> as stars: each node that a batch of edges reaches with the smallest of them."""
     for batch in regrouped(batches, _EDGES_TOGETHER):

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import BATCH_ROWS, Scratch, as_bytes, connected_components
+from weftgraph.llm.common import BATCH_ROWS, Scratch, as_bytes, connected_components, lean
 from weftgraph.session import broadcast_if_small
 
 SHINGLE_WORDS = 5
@@ -159,6 +159,7 @@ def described(texts: DataFrame, slots: int, words: int, fingerprint: object) ->
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
     step = min(slots, SLOT_ROWS)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(words), np.zeros(slots, np.int64)
         for rows, raws in _chunks(batches):
@@ -173,6 +174,7 @@ def described(texts: DataFrame, slots: int, words: int, fingerprint: object) ->
     return texts.mapInArrow(run, "row long, n int, fp long, bits binary, slot int, counts binary")
 
 
+@lean
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counters (slot, counts), those of a slot together, added up."""
     slot, total = None, None
@@ -204,6 +206,7 @@ def _group_table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _GROUP_KINDS)], _GROUP_NAMES)
 
 
+@lean
 def _dealt(batches: Iterator[pa.RecordBatch], bits: int, words: int, counts: np.ndarray, frequent: int) -> Iterator[pa.RecordBatch]:
     """Texts (row, text) -> their shingles by bucket."""
     shingler, slots = Shingler(words), len(counts)
@@ -225,6 +228,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], bits: int, words: int, counts: np.
         yield _group_table(out)
 
 
+@lean
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket, a bucket's together -> by group the shingles that several texts have, and how many."""
     bucket: int | None = None
@@ -264,6 +268,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
+@lean
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by group, a group's together -> (token, row, n, at) of each text's first shingles that others have, at their place in its order."""
     group: int | None = None
@@ -335,6 +340,7 @@ def _pairs_of(a: list[np.ndarray], b: list[np.ndarray], row: np.ndarray, n: np.n
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
+@lean
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All pairs that share a token, are not in one component yet, and whose sizes, places and parities leave room for the similarity.
 
@@ -364,6 +370,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pairs_of(a, b, row, n, bits)
 
 
+@lean
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of the rows (a, b, size and parity of a, size and parity of b) that may be similar."""
     for batch in batches:
@@ -371,6 +378,7 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(may_be_similar(n, m, batch.column(3).to_pylist(), batch.column(5).to_pylist())))
 
 
+@lean
 def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, bits) with bits narrowed."""
     for batch in batches:
@@ -418,6 +426,7 @@ def components(scratch: Scratch, texts: DataFrame, links_of: object, fingerprint
         have = scratch.stored(texts.join(ends, "row"))
         met = pairs.join(have.select(F.col("row").alias("a"), F.col("text").alias("x")), "a").join(have.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """(a, b) of the rows (a, b, text of a, text of b) that are similar."""
             shingler = Shingler(words)

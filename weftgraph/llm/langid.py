@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import id_remainder, prepared, widened
+from weftgraph.llm.common import id_remainder, lean, prepared, widened
 
 DIMENSIONS = 512
 SEED = 17
@@ -90,6 +90,7 @@ def profiles(docs: DataFrame, text_column: str = "text", lang_column: str = "lan
     """
     prepared(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
 
@@ -133,6 +134,7 @@ def identify(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_col
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     at = kept.index(text_column)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = _Bound()
         for batch in batches:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Scratch, as_bytes, free, prepared, widened
+from weftgraph.llm.common import Scratch, as_bytes, free, lean, prepared, widened
 from weftgraph.session import broadcast_if_small
 
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -79,6 +79,7 @@ def counted(docs: DataFrame, id_column: str, text_column: str, size: str, key: s
     names = docs.columns
     at, of = names.index(id_column), names.index(text_column)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws, ids = as_bytes(batch.column(of)), batch.column(at).to_pylist()
@@ -164,6 +165,7 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     at, n = names.index(text_column), len(names)
     word = re.compile(r"[^\x20\x09-\x0D]+")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, texts = [], []

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Scratch, prepared
+from weftgraph.llm.common import Scratch, lean, prepared
 
 CAPACITY = 2048
 END_ID = 1
@@ -176,6 +176,7 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     names = [id_column, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     end, path = np.array([END_ID], "<u4").tobytes(), path or vocabulary()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, number = WordIds(path), TaskContext.get().partitionId() << _TASK_BITS
         for batch in batches:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import jaccard
-from weftgraph.llm.common import Scratch, as_bytes, connected_components, free, prepared
+from weftgraph.llm.common import Scratch, as_bytes, connected_components, free, lean, prepared
 from weftgraph.session import broadcast_if_small
 
 SHINGLE_WORDS = 3
@@ -48,6 +48,7 @@ def voted(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """(id, fp): the fingerprint of every row's whole text as a signed long; a null text is empty."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x, words) for x in as_bytes(batch.column(1))], np.uint64)
@@ -132,6 +133,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+@lean
 def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Rows (mask, value, fp), a shard's rows together: builds each shard's tree, yields (a, b) of its links as stars."""
     shard, held = None, []

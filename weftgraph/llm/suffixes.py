@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import Scratch, as_bytes, prepared, regrouped
+from weftgraph.llm.common import Scratch, as_bytes, lean, prepared, regrouped
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 100
@@ -116,6 +116,7 @@ def _mark_rows(doc: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.RecordBa
     return _table(spread, np.zeros(len(doc), np.int64), doc, at, -size)
 
 
+@lean
 def _parse(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Iterator[pa.RecordBatch]:
     """Documents (id, text) -> their phrases (trigger hash h, content hash c, doc, at, span), those that repeat within a batch as marks already."""
     content = xxhash.xxh3_64_intdigest
@@ -148,6 +149,7 @@ def _again(h: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.
     return (doc != doc[first]) | (at != at[first])
 
 
+@lean
 def _dictionary(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Phrases sorted by (h, c, doc, at), a trigger's together -> marks of repeated phrases, and the first places of those phrases whose trigger has other phrases too."""
     kept = [np.zeros(0, np.int64)] * 5  # of the trigger that may go on: the first row, and the first of its last phrase
@@ -173,6 +175,7 @@ def _dictionary(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
         kept = [x[np.unique(last[[0, -1]])] for x in (h, c, doc, at, span)]
 
 
+@lean
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Iterator[pa.RecordBatch]:
     """(id, text, asked phrases) -> (key, doc, at, bytes) of each phrase's strings, by the trigger's left or right context.
 
@@ -232,6 +235,7 @@ def _suffixes(doc: np.ndarray, at: np.ndarray, parts: list[bytes], length: int)
     return doc, at, repeats, hashes, others
 
 
+@lean
 def _compared(batches: Iterator[pa.RecordBatch], length: int, group_rows: int) -> Iterator[pa.RecordBatch]:
     """Phrases sorted by key, a key's together -> marks of the strings that repeat; of keys with more than group_rows phrases also every first string's hashes."""
 
@@ -335,6 +339,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     keyed = docs.select(*(F.col(n).alias(f"_{i}") for i, n in enumerate(names)), raw.alias("text"), F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("doc"), F.crc32(raw.cast("binary")).bitwiseAND(0x7FFFFFFF).alias("crc"))
     joined = keyed.join(runs, ["doc", "crc"], "left").select(*(f"_{i}" for i in range(len(names))), "text", "runs")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(names)
         for batch in batches:
