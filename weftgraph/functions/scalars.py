@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GLOBAL = "Global"
 # The fields that a node's label is taken from, in this order; {kind} is the node's type.
 LABEL_FIELDS = [
     "label", "title", "name", "{kind}_label", "{kind}_title", "{kind}_name", "combinedName", "issue_title", "pr_title", "import_name", "code", "path", "file", "ID", "id",
 ]
+# The fields that an edge's label is taken from, and the names that an edge's ends may have, in this order.
+EDGE_LABEL_FIELDS = ["label", "title", "name", "pr_number", "pr_title", "issue_title", "change_type"]
+SOURCE_NAMES = ["source", "sourrce", "src", "from", "start", "u", "left"]
+TARGET_NAMES = ["target", "dst", "to", "end", "v", "right"]
 
 
 def qualified_name(owner: Column, name: Column) -> Column:
@@ -117,9 +124,14 @@ def color(key: Column) -> Column:
     return F.concat(F.lit("#"), channel(0), channel(1), channel(2))
 
 
+def plain_type(name: Column) -> Column:
+    """A C++ type without const, pointers and references."""
+    return F.trim(F.regexp_replace(name, r"\bconst\b|[*&]", ""))
+
+
 def clean_type(name: Column) -> Column:
     """A C++ type without const, pointers and references, a smart pointer as what it points to."""
-    plain = F.trim(F.regexp_replace(name, r"\bconst\b|[*&]", ""))
+    plain = plain_type(name)
     inner = F.regexp_extract(plain, r"(?:unique_ptr|shared_ptr|weak_ptr)\s*<\s*(.*?)\s*>$", 1)
     return F.when(inner != "", inner).otherwise(plain)
 
@@ -144,8 +156,58 @@ def unescaped(text: Column) -> Column:
 
 
 def node_label(kind: str, columns: list[str], most: int = 30) -> Column:
-    """[KIND] and the first field that isn't empty, cut."""
-    names = [c.format(kind=kind) for c in LABEL_FIELDS]
-    fields = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in names if c in columns]
-    text = F.coalesce(*fields, F.lit("")) if fields else F.lit("")
-    return F.concat(F.lit(f"[{kind.upper()}] "), F.left(text, F.lit(most)))
+    """[KIND] and the first label field that isn't empty, else the first other column, trimmed, on one line and cut with an ellipsis."""
+    named = [c.format(kind=kind) for c in LABEL_FIELDS]
+    chosen = [c for c in named if c in columns] + [c for c in columns if c not in named and c.lower() != "id"]
+    text = F.coalesce(*(F.nullif(F.col(c).cast("string"), F.lit("")) for c in chosen), F.lit(""))
+    return F.concat(F.lit(f"[{kind.upper()}] "), truncated(F.replace(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("\n"), F.lit(" ")), most))
+
+
+def edge_label(columns: list[str], most: int = 40) -> Column:
+    """PR#number - title, the title cut at 25 characters, where an edge has both; else the first label field that isn't empty; null without one."""
+    if "pr_number" in columns and "pr_title" in columns:
+        return F.concat(F.lit("PR#"), F.col("pr_number").cast("string"), F.lit(" - "), truncated(F.coalesce(F.col("pr_title").cast("string"), F.lit("None")), 25))
+    fields = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in EDGE_LABEL_FIELDS if c in columns]
+    return truncated(F.coalesce(*fields), most) if fields else F.lit(None).cast("string")
+
+
+def end_columns(columns: list[str]) -> tuple[str, str]:
+    """The columns of an edge table that hold its two ends: by usual names in any case, then by names that hold one as a word, then the first two that are no label."""
+    lower = {c.lower(): c for c in reversed(columns)}
+
+    def named(words: list[str]) -> str | None:
+        whole = [lower[w] for w in words if w in lower]
+        return next(iter(whole or [c for c in columns if any(re.search(rf"\b{w}\b", c.lower()) for w in words)]), None)
+
+    ends = named(SOURCE_NAMES), named(TARGET_NAMES)
+    if None not in ends:
+        return ends
+    others = [c for c in columns if c.lower() not in ("label", "title", "name")]
+    if len(others) < 2:
+        raise ValueError(f"no two end columns among {columns}")
+    return others[0], others[1]
+
+
+def sanitized(column: Column, kind: T.DataType) -> Column:
+    """A value as a property-graph loader takes it: dates as ISO text, structures as JSON, lists of plain values as they are, bytes and the rest as text."""
+    if isinstance(kind, (T.StringType, T.BooleanType, T.IntegralType, T.FloatType, T.DoubleType)):
+        return column
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return iso_time(column)
+    if isinstance(kind, T.ArrayType):
+        plain = isinstance(kind.elementType, (T.StringType, T.BooleanType, T.IntegralType, T.FloatType, T.DoubleType, T.TimestampType, T.TimestampNTZType, T.DateType))
+        return F.transform(column, lambda x: sanitized(x, kind.elementType)) if plain else F.to_json(column)
+    if isinstance(kind, (T.MapType, T.StructType, T.VariantType)):
+        return F.to_json(column)
+    return column.cast("string")
+
+
+def iso_time(column: Column) -> Column:
+    """A timestamp as ISO 8601 text in the session's zone, without an offset; microseconds only where there are any."""
+    short, fine = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss"), F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.when(fine.endswith(".000000"), short).otherwise(fine)
+
+
+def bare_function(name: Column) -> Column:
+    """The function's own name of module:name/arity."""
+    return F.regexp_extract(name, r"^(?:[^:]*:)?(.*?)(?:/\d+)?$", 1)

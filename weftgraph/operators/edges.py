@@ -96,8 +96,8 @@ def question_cluster_edges(questions: DataFrame, clusters: DataFrame) -> DataFra
 
 
 def exported_nodes(nodes: DataFrame, label: str, key: str = "ID") -> DataFrame:
-    """(global_id, label, props): a node table as a property-graph loader takes it; null properties are left out."""
-    return nodes.select(S.global_id(F.lit(label), F.col(key)).alias("global_id"), F.lit(label.upper()).alias("label"), F.to_json(F.struct(*nodes.columns)).alias("props"))
+    """(global_id, label, props): a node table as a property-graph loader takes it; null properties are left out, values are as such a loader takes them."""
+    return nodes.select(S.global_id(F.lit(label), F.col(key)).alias("global_id"), F.lit(label.upper()).alias("label"), F.to_json(F.struct(*(S.sanitized(F.col(f.name), f.dataType).alias(f.name) for f in nodes.schema.fields))).alias("props"))
 
 
 def exported_edges(edges: DataFrame, source_label: str, target_label: str, kind: str, last: str | None = None) -> DataFrame:

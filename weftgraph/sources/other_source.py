@@ -1,4 +1,4 @@
-"""C++ and Erlang source by hand-written scanners: less than a grammar, enough for plain declarations and calls."""
+"""Erlang source by a hand-written scanner: less than a grammar, enough for plain declarations and calls."""
 
 from __future__ import annotations
 
@@ -7,12 +7,6 @@ import re
 from weftgraph.sources.registry import register, register_flow
 
 GLOBAL = "Global"
-_CPP_SKIP = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', re.S)
-_CPP_CLASS = re.compile(r"\b(?:class|struct)\s+(\w+)\s*(?:final\s*)?(?::\s*([^{;]+?))?\s*\{")
-_CPP_FUNCTION = re.compile(r"(?<![\w.>])((?:[\w:<>,*&\s]|\[\[.*?\]\])*?[\w>*&]\s+[*&]*|~?)((?:\w+::)*~?\w+|(?:\w+::)*operator\s*\S+?)\s*\(([^(){};]*)\)\s*(?:const|noexcept|override|final|\s)*(?:->\s*[\w:<>]+\s*)?\{")
-_CPP_CALL = re.compile(r"(?:\bnew\s+([\w:]+)|([A-Za-z_]\w*(?:(?:::|\.|->)~?\w+)*))\s*(?:<[\w:,\s]*>)?\s*\(")
-# Words that stand before a bracket without being called.
-_CPP_WORDS = frozenset("if for while switch return catch sizeof alignof decltype static_assert else do throw delete new operator defined".split())
 
 
 def _blank(source: str, pattern: re.Pattern) -> str:
@@ -20,57 +14,6 @@ def _blank(source: str, pattern: re.Pattern) -> str:
     return pattern.sub(lambda m: f'"{re.sub("[^\n]", "_", m[0][1:-1])}"' if m[0][0] == '"' and len(m[0]) > 1 else re.sub(r"[^\n]", " ", m[0]), source)
 
 
-def _end(source: str, start: int) -> int:
-    """Where the brace that opens at start is closed."""
-    depth = 0
-    for m in re.finditer(r"[{}]", source[start:]):
-        depth += 1 if m[0] == "{" else -1
-        if not depth:
-            return start + m.end()
-    return len(source)
-
-
-@register("cpp")
-def parse_cpp(source: str, path: str = "") -> list[dict]:
-    """Includes, classes and structs with bases, functions with bodies, calls with their byte place and the variables in scope."""
-    rows: list[dict] = []
-
-    def add(kind: str, **values: object) -> dict:
-        rows.append({"kind": kind, "local_id": len(rows), "class": GLOBAL, "class_bases": [], **values})
-        return rows[-1]
-
-    for m in re.finditer(r'^[ \t]*#[ \t]*include[ \t]*[<"]([^>"\n]+)[>"]', source, re.M):
-        add("import", name=m[1], as_name=m[1])
-    plain = _blank(source, _CPP_SKIP)
-    spans = []
-    for m in _CPP_CLASS.finditer(plain):
-        bases = [re.sub(r"\b(?:public|private|protected|virtual)\b|<.*>", "", b).strip() for b in (m[2] or "").split(",") if b.strip()]
-        row = add("class", name=m[1], bases=bases)
-        spans.append((m.start(), _end(plain, m.end() - 1), row))
-    functions = []
-    for m in _CPP_FUNCTION.finditer(plain):
-        owner, _, name = m[2].rpartition("::")
-        if name in _CPP_WORDS or m[1].split() and m[1].split()[-1] in _CPP_WORDS:
-            continue
-        around = next((r for a, b, r in reversed(spans) if a < m.start() < b), None)
-        params = {}
-        for i, p in enumerate(x.split("=")[0].strip() for x in m[3].split(",") if x.strip() and x.strip() != "void"):
-            kind, _, own = re.sub(r"\s*([*&]+)\s*", r"\1 ", p).rpartition(" ")
-            params[own if kind else f"arg{i}"] = (kind or own).strip()
-        end = _end(plain, m.end() - 1)
-        variables = [{"name": v[2], "type": v[1].strip(), "start": v.start(), "end": end} for v in re.finditer(r"(?<=[;{}\n(])\s*((?:const\s+)?[A-Za-z_][\w:]*(?:<[\w:,\s*]*>)?[\s*&]+)(\w+)\s*(?=[=;({])", plain[: end]) if v.start() >= m.end() - 1 and v[1].split()[0] not in _CPP_WORDS]
-        row = add("function", name=name, **{"class": owner or (around["name"] if around else GLOBAL), "class_bases": around["bases"] if around else [], "class_id": around["local_id"] if around else None}, params=params, return_type=m[1].strip() or None, code=source[m.start() : end].strip(), local_vars=variables)
-        functions.append((m.end() - 1, end, row))
-    heads = {m.start(2) for m in _CPP_FUNCTION.finditer(plain)}
-    for m in _CPP_CALL.finditer(plain):
-        name = m[1] or m[2]
-        if name in _CPP_WORDS or m.start(2) in heads and not m[1]:
-            continue
-        inside = next((r for a, b, r in reversed(functions) if a < m.start() < b), None)
-        add("call", name=name.replace("->", "."), position=m.start(), func_id=inside["local_id"] if inside else None, func_name=inside["name"] if inside else None, params=inside["params"] if inside else {}, local_vars=inside["local_vars"] if inside else [], **{"class": inside["class"] if inside else GLOBAL})
-    return rows
-
-
 _ERL_SKIP = re.compile(r'%[^\n]*|"(?:\\.|[^"\\])*"')
 _ERL_CLAUSE = re.compile(r"^([a-z]\w*|'[^'\n]+')\s*\(", re.M)
 _ERL_CALL = re.compile(r"(?:\b([a-z]\w*)\s*:\s*)?(?<![\w@?#'])([a-z]\w*)\s*\(")

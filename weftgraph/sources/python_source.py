@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ast
 import hashlib
-import json
 import re
 
 from weftgraph.sources.registry import register, register_flow
@@ -92,23 +91,34 @@ def parse(source: str, path: str = "") -> list[dict]:
     return walk.rows
 
 
-def resolved_object(name: str, row: dict, aliases: dict[str, str], returns: dict[str, str]) -> str:
-    """What a call's name means: self and super, a typed local variable, a parameter's type, an import's name, or the name itself."""
-    head, dot, rest = name.partition(".")
-    if head == "self":
-        head = row.get("class") or head
-    elif head.startswith("super("):
-        head = (row.get("class_bases") or [head])[0]
-    else:
-        local = {v["name"]: v["type"] for v in row.get("local_vars") or []}
-        params = row.get("params") or {}
-        if head in local:
-            head = returns.get(local[head]) or local[head] if dot else head
-        elif head in params:
-            head = params[head]
-        else:
-            head = aliases.get(head, head)
-    return head + dot + rest
+class _Declarations(_Walk):
+    """Declarations alone: asynchronous and decorated functions have rows too, as they are written, and calls have none."""
+
+    def __init__(self, source: str) -> None:
+        super().__init__()
+        self.source = source
+
+    def visit_FunctionDef(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
+        first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
+        code = "\n".join(self.source.split("\n")[first - 1 : node.end_lineno])
+        self._row("function", name=node.name, params=_params(node), return_type=ast.unparse(node.returns) if node.returns else None, docstring=ast.get_docstring(node), code=code.strip())
+        self.generic_visit(node)
+
+    visit_AsyncFunctionDef = visit_FunctionDef
+
+    def visit_Call(self, node: ast.Call) -> None:
+        self.generic_visit(node)
+
+
+@register("python_declarations")
+def parse_declarations(source: str, path: str = "") -> list[dict]:
+    """Import, class and function rows with asynchronous and decorated functions, without calls; parameters that are only positional or only named are left out."""
+    try:
+        walk = _Declarations(source)
+        walk.visit(ast.parse(source))
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
+        return [{"kind": "error", "local_id": 0, "name": type(error).__name__}]
+    return walk.rows
 
 
 def _stripped(source: str) -> str:
@@ -202,7 +212,18 @@ def flow(code: str) -> tuple[list[tuple[int, str, str]], list[tuple[int, int]]]:
         edges.extend((b, len(nodes) - 1) for b in before)
         return len(nodes) - 1
 
-    def run(statements: list[ast.stmt], before: list[int], loop: tuple[int, list[int]] | None) -> list[int]:
+    def leave(before: list[int], what: str, loop: tuple | None, final: list | None) -> None:
+        """Lead a return, raise, break or continue to where it goes; through the finally block of a try that it leaves."""
+        if final is not None and (what == "exit" or loop and loop[2] is not final):
+            final.extend((b, what, loop) for b in before)
+        elif what == "exit":
+            edges.extend((b, 1) for b in before)
+        elif loop and what == "continue":
+            edges.extend((b, loop[0]) for b in before)
+        elif loop:
+            loop[1].extend(before)
+
+    def run(statements: list[ast.stmt], before: list[int], loop: tuple | None, final: list | None) -> list[int]:
         block: list[str] = []
 
         def closed() -> None:
@@ -212,49 +233,51 @@ def flow(code: str) -> tuple[list[tuple[int, str, str]], list[tuple[int, int]]]:
             block.clear()
 
         for s in statements:
-            if isinstance(s, (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.Match)):
+            if isinstance(s, (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.TryStar, ast.With, ast.AsyncWith, ast.Match)):
                 closed()
             if not before:
                 break
             if isinstance(s, ast.If):
                 test = new(f"if {ast.unparse(s.test)}", "Branch", before)
-                ends = run(s.body, [test], loop) + (run(s.orelse, [test], loop) if s.orelse else [test])
+                ends = run(s.body, [test], loop, final) + (run(s.orelse, [test], loop, final) if s.orelse else [test])
                 before = [new("merge", "Merge", ends)] if ends else []
             elif isinstance(s, (ast.For, ast.AsyncFor, ast.While)):
                 said = f"while {ast.unparse(s.test)}" if isinstance(s, ast.While) else f"for {ast.unparse(s.target)} in {ast.unparse(s.iter)}"
                 test, breaks = new(said, "Branch", before), []
-                edges.extend((e, test) for e in run(s.body, [test], (test, breaks)))
-                before = [new("merge", "Merge", run(s.orelse, [test], loop) + breaks)]
-            elif isinstance(s, ast.Try):
-                start = new("try", "Branch", before)
-                ends = run(s.body + s.orelse, [start], loop)
+                edges.extend((e, test) for e in run(s.body, [test], (test, breaks, final), final))
+                ends = run(s.orelse, [test], loop, final) + breaks
+                before = [new("merge", "Merge", ends)] if ends else []
+            elif isinstance(s, (ast.Try, ast.TryStar)):
+                start, word = new("try", "Branch", before), "except*" if isinstance(s, ast.TryStar) else "except"
+                left = [] if s.finalbody else final
+                ends = run(s.body + s.orelse, [start], loop, left)
                 for h in s.handlers:
-                    ends += run(h.body, [new(f"except {ast.unparse(h.type) if h.type else ''}".strip(), "Branch", [start])], loop)
-                before = run(s.finalbody, [new("merge", "Merge", ends)], loop) if ends else []
+                    ends += run(h.body, [new(f"{word} {ast.unparse(h.type) if h.type else ''}".strip(), "Branch", [start])], loop, left)
+                if not s.finalbody:
+                    before = [new("merge", "Merge", ends)] if ends else []
+                    continue
+                away = list(dict.fromkeys((what, id(to)) for _, what, to in left))
+                known = {(what, id(to)): to for _, what, to in left}
+                into = ends + [b for b, _, _ in left] + ([] if s.handlers or ends or left else [start])
+                after = run(s.finalbody, [new("finally", "Merge", list(dict.fromkeys(into)))], loop, final)
+                for what, key in away:
+                    leave(after, what, known[what, key], final)
+                before = after if ends else []
             elif isinstance(s, (ast.With, ast.AsyncWith)):
-                before = run(s.body, [new("with " + ", ".join(ast.unparse(i) for i in s.items), "BasicBlock", before)], loop)
+                before = run(s.body, [new("with " + ", ".join(ast.unparse(i) for i in s.items), "BasicBlock", before)], loop, final)
             elif isinstance(s, ast.Match):
                 start, ends = new(f"match {ast.unparse(s.subject)}", "Branch", before), []
                 for case in s.cases:
-                    ends += run(case.body, [new(f"case {ast.unparse(case.pattern)}", "Branch", [start])], loop)
+                    ends += run(case.body, [new(f"case {ast.unparse(case.pattern)}", "Branch", [start])], loop, final)
                 before = [new("merge", "Merge", ends + [start])]
             else:
                 block.append(ast.unparse(s))
                 if isinstance(s, (ast.Return, ast.Raise, ast.Break, ast.Continue)):
                     closed()
-                    if isinstance(s, (ast.Return, ast.Raise)):
-                        edges.extend((b, 1) for b in before)
-                    elif loop and isinstance(s, ast.Continue):
-                        edges.extend((b, loop[0]) for b in before)
-                    elif loop:
-                        loop[1].extend(before)
+                    leave(before, {ast.Break: "break", ast.Continue: "continue"}.get(type(s), "exit"), loop, final)
                     before = []
         closed()
         return before
 
-    edges.extend((e, 1) for e in run(body, [2], None))
+    edges.extend((e, 1) for e in run(body, [2], None, None))
     return nodes, list(dict.fromkeys(edges))
-
-
-def as_json(params: dict[str, str]) -> str:
-    return json.dumps(params)

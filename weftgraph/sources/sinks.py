@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars as S
-from weftgraph.operators.edges import undirected
 from weftgraph.operators.linking import existing_edges
 from weftgraph.plans.call_graph import endpoint_types, exported
 
@@ -37,7 +36,7 @@ def simple_digraph(edges: DataFrame) -> DataFrame:
 
 
 def picture_tables(catalog: dict[str, DataFrame], with_subgraphs: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(nid, label, color) and (s, t, color, label) of what a picture shows: edges need both ends, and parallel ones are one."""
+    """(nid, label, color) and (s, t, color, label) of what a picture shows: edges need both ends, parallel ones are one, and their label is null where they have none."""
     nodes = edges = None
     for key, df in catalog.items():
         if "subgraph" in key and not with_subgraphs:
@@ -48,8 +47,9 @@ def picture_tables(catalog: dict[str, DataFrame], with_subgraphs: bool = False)
             nodes = part if nodes is None else nodes.unionByName(part)
         elif key.endswith("_edges"):
             a, b = endpoint_types(key)
-            ends = df.select(F.concat(F.lit(a.upper() + "_"), F.col("source").cast("string")).alias("source"), F.concat(F.lit(b.upper() + "_"), F.col("target").cast("string")).alias("target"))
-            part = undirected(ends).select("source", "target", S.color(F.lit(key)).alias("color"), F.lit(key.removesuffix("_edges")).alias("label"))
+            s, t = S.end_columns(df.columns)
+            ends = df.select(F.concat(F.lit(a.upper() + "_"), F.col(s).cast("string")).alias("s"), F.concat(F.lit(b.upper() + "_"), F.col(t).cast("string")).alias("t"), S.edge_label(df.columns).alias("label"))
+            part = ends.groupBy(F.least("s", "t").alias("source"), F.greatest("s", "t").alias("target")).agg(F.max("label").alias("label")).select("source", "target", S.color(F.lit(key)).alias("color"), "label")
             edges = part if edges is None else edges.unionByName(part)
     return nodes, existing_edges(edges, nodes, "nid").select(F.col("source").alias("s"), F.col("target").alias("t"), "color", "label")
 

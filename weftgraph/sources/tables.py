@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars as S
 from weftgraph.operators.ids import dense_ids
+from weftgraph.operators.linking import contained_in_other
 from weftgraph.session import ship_package, stored
-from weftgraph.sources import other_source, python_source  # noqa: F401 - they register their languages
-from weftgraph.sources.registry import FLOWS, PARSERS
+from weftgraph.sources import cpp_source, other_source, python_source  # noqa: F401 - they register their languages
+from weftgraph.sources.registry import FLOWS, PARSERS, RESOLVERS, register_resolver
 
 _PARSED = (
     "path string, kind string, local_id bigint, name string, origin string, as_name string, class string, class_bases array<string>, class_id bigint, bases array<string>, docstring string, "
@@ -73,12 +74,15 @@ def bronze(files: DataFrame, language: str) -> dict[str, DataFrame]:
 
 
 def resolved_calls(tables: dict[str, DataFrame], language: str) -> DataFrame:
-    """calls with combinedName: what each one's name means."""
+    """calls with combinedName: what each one's name means, by the language's registered resolver."""
+    resolve = RESOLVERS.get(language)
+    return tables["calls"].withColumn("combinedName", F.coalesce("qualified", "name")) if resolve is None else resolve(tables)
+
+
+@register_resolver("python")
+def python_calls(tables: dict[str, DataFrame]) -> DataFrame:
+    """Python calls: self and super, a typed local variable, a parameter's type, an import's name, or the name itself."""
     calls = tables["calls"]
-    if language == "erlang":
-        return calls.withColumn("combinedName", F.coalesce("qualified", "name"))
-    if language == "cpp":
-        return cpp_calls(calls)
     head, rest = F.substring_index("name", ".", 1), F.when(F.col("name").contains("."), F.expr("substring(name, instr(name, '.'))")).otherwise(F.lit(""))
     last = Window.partitionBy("file_id", "as_name").orderBy(F.desc("imp_id"))
     aliases = tables["imports"].withColumn("_n", F.row_number().over(last)).where("_n = 1").select("file_id", F.col("as_name").alias("head"), F.when(F.col("from").isNotNull(), F.concat_ws(".", "from", "name")).otherwise(F.col("name")).alias("meant"))
@@ -97,13 +101,48 @@ def resolved_calls(tables: dict[str, DataFrame], language: str) -> DataFrame:
     return joined.withColumn("combinedName", F.concat(base, "rest")).drop("head", "rest", "callee", "meant", "returned")
 
 
-def cpp_calls(calls: DataFrame) -> DataFrame:
-    """C++ calls by the class of `this` or of the last declared variable in scope; :: between names becomes a dot."""
-    head = F.substring_index("name", ".", 1)
-    scope = F.expr("try_element_at(filter(local_vars, v -> v.name = substring_index(name, '.', 1) and call_position between v.start and v.end), -1).type")
-    rest = F.expr("if(contains(name, '.'), substring(name, instr(name, '.')), '')")
-    base = F.when(head == "this", F.col("class")).when(scope.isNotNull() & (rest != ""), S.clean_type(scope)).otherwise(head)
-    return calls.withColumn("combinedName", F.regexp_replace(F.replace(F.concat(base, rest), F.lit("::"), F.lit(".")), r"<.*?>", ""))
+def method_types(functions: DataFrame) -> DataFrame:
+    """(_class, _method, returned): the return type of the first method of each class and name, plain; null where none is given."""
+    first = functions.groupBy(F.col("class").alias("_class"), F.col("name").alias("_method")).agg(F.min_by(F.struct("return_type"), "fnc_id").alias("_first"))
+    return first.select("_class", "_method", F.nullif(F.replace(S.plain_type(F.col("_first.return_type")), F.lit("::"), F.lit(".")), F.lit("")).alias("returned"))
+
+
+@register_resolver("cpp")
+def cpp_calls(tables: dict[str, DataFrame]) -> DataFrame:
+    """C++ calls: a chain becomes a call for each of its methods, by the types that the ones before return.
+
+    What a name stands on is the class of `this`, the variable declared last in a
+    block around the call, or a parameter. A chain that is part of a longer one
+    gives no call of its own; one whose first name has no type stays whole. A plain
+    name is a method of the class around it if that has one, and :: becomes a dot.
+    """
+    methods = stored(method_types(tables["functions"]), "methods")
+    columns = [*tables["calls"].columns, "combinedName"]
+    declared = F.expr("coalesce(try_element_at(filter(local_vars, v -> v.name = substring_index(name, '.', 1) and call_position between v.start and v.end), -1).type, try_element_at(func_params, substring_index(name, '.', 1)))")
+    parts = F.split(F.replace("name", F.lit("()"), F.lit("")), r"\.")
+    calls = tables["calls"].withColumn("_parts", parts).withColumn("_declared", declared).withColumn("_chain", (F.size(parts) > 2) & ~F.col("name").contains("::"))
+    chains = contained_in_other(calls.where("_chain").select("name"), "name", gram=12).withColumn("_part", F.lit(True))
+    calls = stored(calls.join(chains, "name", "left").where("_part is null").drop("_part"), "calls")
+    split = F.col("_chain") & F.col("_declared").isNotNull()
+
+    rest = F.expr("substring(name, instr(name, '.') + 1)")
+    owner = F.replace(S.clean_type(F.col("_declared")), F.lit("::"), F.lit("."))
+    single = calls.where(~split).join(methods, (F.col("_class") == F.col("class")) & (F.col("_method") == F.col("name")) & (F.col("class") != "Global"), "left")
+    meaning = (
+        F.when(F.col("name").startswith("this."), S.qualified_name(F.col("class"), rest))
+        .when(F.col("name").contains(".") & ~F.col("name").contains("::"), F.when(F.coalesce(F.trim("_declared"), F.lit("auto")) == "auto", F.col("name")).otherwise(F.concat(owner, F.lit("."), rest)))
+        .when(F.col("name").contains("::"), F.replace("name", F.lit("::"), F.lit(".")))
+        .when(F.col("_method").isNotNull(), S.qualified_name(F.col("class"), F.col("name")))
+        .otherwise(F.col("name"))
+    )
+    found = single.withColumn("combinedName", meaning).select(*columns)
+    level = calls.where(split).withColumn("_type", F.replace(S.plain_type(F.col("_declared")), F.lit("::"), F.lit("."))).withColumn("_at", F.lit(1))
+    while not level.isEmpty():  # once for each step of the longest chain
+        step = level.withColumn("_step", F.get("_parts", F.col("_at"))).withColumn("combinedName", F.concat_ws(".", "_type", "_step"))
+        found = found.unionByName(step.withColumn("name", F.concat_ws(".", F.get("_parts", F.col("_at") - 1), "_step")).select(*columns))
+        after = step.where(F.size("_parts") > F.col("_at") + 1).join(methods, (F.col("_class") == F.col("_type")) & (F.col("_method") == F.col("_step"))).where("returned is not null")
+        level = stored(after.withColumn("_type", F.col("returned")).withColumn("_at", F.col("_at") + 1).select(*level.columns), "chains")
+    return found
 
 
 def trees(functions: DataFrame, drop_first: bool = False) -> DataFrame:
