@@ -329,12 +329,70 @@ def P9_semi(spark, d):
     return t(spark, d, "orders").join(t(spark, d, "lineitem").where("l_linenumber = 4").select(c("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select("o_orderkey")
 
 
-@query("SELECT doc_id, '[DOC] ' || left(text, 30) AS label FROM documents")
+@query("""WITH x AS (SELECT doc_id, replace(regexp_replace(coalesce(nullif(text, ''), CAST(doc_id AS VARCHAR), ''), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g'), chr(10), ' ') AS t FROM documents)
+          SELECT doc_id, '[DOC] ' || CASE WHEN length(t) > 30 THEN left(t, 30) || '...' ELSE t END AS label FROM x""")
 def P13_label(spark, d):
     docs = t(spark, d, "documents").select("doc_id", c("text").alias("title"))
     return docs.select("doc_id", S.node_label("doc", docs.columns).alias("label"))
 
 
+@query("SELECT doc_id, 'PR#' || doc_id || ' - ' || CASE WHEN text IS NULL THEN 'None' WHEN length(text) > 25 THEN left(text, 25) || '...' ELSE text END AS label FROM documents")
+def P14_pull_label(spark, d):
+    edges = t(spark, d, "documents").select(c("doc_id").alias("pr_number"), c("text").alias("pr_title"))
+    return edges.select(c("pr_number").alias("doc_id"), S.edge_label(edges.columns).alias("label"))
+
+
+@query("SELECT event_id, CASE WHEN length(x) > 40 THEN left(x, 40) || '...' ELSE x END AS label FROM (SELECT event_id, coalesce(nullif(event_type, 'view'), nullif(props, '')) AS x FROM events)")
+def P14_edge_label(spark, d):
+    edges = t(spark, d, "events").select("event_id", F.nullif("event_type", F.lit("view")).alias("name"), c("props").alias("change_type"))
+    return edges.select("event_id", S.edge_label(edges.columns).alias("label"))
+
+
+@query("SELECT l_suppkey AS source, l_partkey AS target FROM lineitem")
+def P12_end_columns(spark, d):
+    edges = t(spark, d, "lineitem").select(c("l_orderkey").alias("label"), c("l_partkey").alias("DST"), c("l_suppkey").alias("the src"))
+    source, target = S.end_columns(edges.columns)
+    return edges.select(c(source).alias("source"), c(target).alias("target"))
+
+
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({0}) % 1000000 = 0 THEN '' ELSE strftime({0}, '.%f') END"
+
+
+@query(f"SELECT event_id, {_ISO.format('ts')} AS at FROM events")
+def F21_iso_time(spark, d):
+    return t(spark, d, "events").select("event_id", S.iso_time(c("ts")).alias("at"))
+
+
+@query(f"""SELECT 'ORDER:' || o_orderkey AS global_id, 'ORDER' AS label, '{{"ID":' || o_orderkey || ',"status":"' || o_orderstatus || '","at":"' || {_ISO.format('o_orderdate')} || '"}}' AS props FROM orders""")
+def F17_sanitized(spark, d):
+    return E.exported_nodes(t(spark, d, "orders").select(c("o_orderkey").alias("ID"), c("o_orderstatus").alias("status"), c("o_orderdate").alias("at")), "order")
+
+
+@query("SELECT p_brand AS class, p_type AS method, 'ns.' || arg_min(p_name, p_partkey) AS returned FROM part GROUP BY ALL")
+def J19_return_type(spark, d):
+    from weftgraph.sources.tables import method_types
+
+    functions = t(spark, d, "part").select(c("p_brand").alias("class"), c("p_type").alias("name"), F.concat(F.lit("const ns::"), "p_name", F.lit(" &")).alias("return_type"), c("p_partkey").alias("fnc_id"))
+    return method_types(functions).toDF("class", "method", "returned")
+
+
+@query("SELECT p_partkey, p_name AS name FROM part")
+def F2_bare_name(spark, d):
+    named = S.module_function(F.lit("a/b/m.erl"), c("p_name"), c("p_size"))
+    return t(spark, d, "part").select("p_partkey", S.bare_function(named).alias("name"))
+
+
+@query("""WITH n AS (SELECT p_partkey AS k, 5 * (row_number() OVER (ORDER BY 'src/p' || p_partkey || '.cpp') - 1) AS id FROM part)
+          SELECT id + 2 AS source, id + 1 AS target FROM n, (VALUES (1), (2)) v(twice) UNION ALL SELECT a.id + 2, b.id + 1 FROM n a JOIN n b ON b.k = a.k - 1""")
+def F7_chained_calls(spark, d):
+    """C++ made from the parts table: a part's run() calls its own next() and, in a chain, that of the part before; the inner call and the chain's first step are two calls."""
+    from weftgraph.plans.call_graph import build_call_graph
+
+    k = c("p_partkey")
+    code = F.format_string("struct C%d { C%d* next() { return p; } };\nvoid run%d(C%d& o) { o.next()->next(); }\n", k, k - 1, k, k)
+    return build_call_graph(t(spark, d, "part").select(F.format_string("src/p%d.cpp", k).alias("path"), code.alias("content")), "cpp")[1]
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 25 THEN left(text, 25) || '...' ELSE text END AS title FROM documents")
 def F28_truncate(spark, d):
     return t(spark, d, "documents").select("doc_id", S.truncated(c("text"), 25).alias("title"))
@@ -412,6 +470,8 @@ def S4_language(spark, d):
     return t(spark, d, "pages").select("page_id", language(F.concat(F.lit("a.b/page"), c("page_id").cast("string"), F.lit("."), end)).alias("lang"))
 
 
+@query("""WITH n AS (SELECT p_partkey AS k, 3 * (row_number() OVER (ORDER BY 'src/p' || p_partkey || '.py') - 1) + 1 AS id FROM part)
+          SELECT a.id AS source, b.id AS target FROM n a JOIN n b ON b.k = a.k - 1""")
 def T1_call_graph(spark: SparkSession, d: str) -> DataFrame:
     """Call graph of Python source made from the parts table: each part is a function that calls the one before it."""
     from weftgraph.plans.call_graph import build_call_graph
@@ -427,4 +487,4 @@ def M4_label_propagation(spark: SparkSession, d: str) -> DataFrame:
     return C.label_propagation(edges, 3)
 
 
-QUERIES |= {f.__name__: f for f in (T1_call_graph, M4_label_propagation)}
+QUERIES |= {f.__name__: f for f in (M4_label_propagation,)}
