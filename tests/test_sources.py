@@ -175,3 +175,25 @@ def test_cluster_names(spark, most):
     names = spark.createDataFrame([(n,) for n in ["readFile", "read_line", "readAll", "draw.circle", "drawSquare", "draw_line2"]], "name string")
     found = C.cluster_names(names, "name", most)
     assert found.count() == 6 and found.select("label").distinct().count() >= 2
+
+
+def test_few_bytes_of_source_are_parsed_in_many_tasks_and_once(spark, tmp_path):
+    from weftgraph.sources import registry, tables
+
+    seen = str(tmp_path / "seen")
+
+    def parse(source, path=""):
+        from pyspark import TaskContext
+
+        with open(seen, "a") as f:
+            f.write(f"{TaskContext.get().partitionId()} {path}\n")
+        return [{"kind": "function", "local_id": 0, "name": "f"}]
+
+    registry.PARSERS["counted"] = parse
+    try:
+        files = spark.range(40).coalesce(1).select(F.format_string("src/p%d.x", "id").alias("path"), F.lit("").alias("content"))
+        assert sorted(r[0] for r in tables.bronze(files, "counted")["functions"].select("fnc_id").collect()) == list(range(40))
+    finally:
+        del registry.PARSERS["counted"]
+    lines = [x.split() for x in open(seen)]
+    assert len(lines) == 40 and len({part for part, _ in lines}) > 1

@@ -106,6 +106,12 @@ def changed(base: DataFrame, head: DataFrame, key: str, value: str) -> DataFrame
     return joined.where(~F.col("_b").eqNullSafe(F.col("_h"))).select(key)
 
 
+def looked_up(df: DataFrame, known: DataFrame, keys: list[str], where: Column) -> DataFrame:
+    """df with known's other columns, null without a match; known has a key once. Rows that `where` doesn't hold for find nothing and aren't joined, so that they don't meet in the task of one key."""
+    asked = F.coalesce(where, F.lit(False))
+    return df.where(asked).join(known, keys, "left").unionByName(df.where(~asked), allowMissingColumns=True)
+
+
 def with_default(df: DataFrame, names: DataFrame, key: str, name: str, default: Column) -> DataFrame:
     """df with a looked-up name, or a default where there is none."""
     return df.join(names.select(key, name), key, "left").withColumn(name, F.coalesce(F.col(name), default))

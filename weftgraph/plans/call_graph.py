@@ -16,7 +16,7 @@ from weftgraph.sources.files import file_table, language
 
 def build_call_graph(found: DataFrame, lang: str = "python", repo_functions_only: bool = True) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """(nodes, edges, bronze tables) of the files (path, content) of a language."""
-    bronze = {k: stored(v, k) for k, v in T.bronze(found.where(language(F.col("path")) == lang), lang).items()}
+    bronze = T.bronze(found.where(language(F.col("path")) == lang), lang)
     calls, functions = T.resolved_calls(bronze, lang), bronze["functions"]
     if repo_functions_only:
         return functions, link_calls(calls, functions), bronze

@@ -11,6 +11,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PART_ROWS = 1_000_000  # rows that a task takes, about
 _SHIPPED: set[str] = set()
 _SCRATCH: dict[str, str] = {}
 
@@ -70,6 +71,27 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def task_number(spark: SparkSession) -> int:
+    """How many tasks work is dealt to that takes long for its bytes: as many as the cluster's cores or a shuffle's parts, whichever are more."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def parts_of(spark: SparkSession, rows: int) -> int | None:
+    """The number of parts of about PART_ROWS rows, not under a shuffle's own; None for so few rows that Spark may choose."""
+    return None if rows <= PART_ROWS else max(-(-rows // PART_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df, which has that many rows, dealt by keys so that a task's rows, and with them its memory, don't grow with the table.
+
+    Spark sizes parts by their compressed bytes and the cluster's cores, which can
+    be many millions of short rows. What is dealt here is not put together again
+    or broadcast, and the other side of a join is dealt alike. Few rows stay as they are.
+    """
+    n = parts_of(df.sparkSession, rows)
+    return df if n is None else df.repartition(n, *keys).hint("merge")
+
+
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """Whether df has at most most_rows rows (counts no further than needed)."""
     return df.limit(most_rows + 1).count() <= most_rows
