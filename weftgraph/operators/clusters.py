@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars as S
-from weftgraph.session import stored
+from weftgraph.session import spread, stored
 
 
 def terms(names: DataFrame, column: str) -> DataFrame:
@@ -121,11 +121,22 @@ def agreement(rows: DataFrame, labels: list[str], least: float = 0.5) -> tuple[D
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, label): each node takes its neighbours' most common label, the smallest of equals, a fixed number of times or until nothing changes."""
-    both = stored(edges.select("source", "target").union(edges.select("target", "source")).where("source <> target").distinct().toDF("node", "other"), "graph")
-    labels = both.select("node", F.col("node").alias("label")).distinct()
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").count()
+    """(node, label): each node takes its neighbours' most common label, the smallest of equals, a fixed number of times or until nothing changes.
+
+    At first each neighbour has a label of its own, so the first round takes the
+    smallest. A node's neighbours meet in one task: there are at most as many as nodes.
+    """
+    ends = edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
+    pairs = spread(ends, edges.count(), "a", "b").distinct()
+    both = stored(pairs.select(F.explode(F.array(*(F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in ("ab", "ba")))).alias("e")).select("e.node", "e.other"), "graph")
+    n = both.count()
+    nodes = spread(both, n, "node").groupBy("node")
+    if rounds < 1:
+        return nodes.agg(F.first("node").alias("label"))
+    labels = stored(nodes.agg(F.min("other").alias("label")), "labels")
+    for _ in range(rounds - 1):
+        heard = spread(both, n, "other").join(labels.withColumnRenamed("node", "other"), "other").select("node", "label")
+        votes = spread(heard, n, "node").groupBy("node", "label").count()
         new = stored(votes.groupBy("node").agg(F.min_by("label", F.struct(-F.col("count"), "label")).alias("label")), "labels")
         if new.join(labels.withColumnRenamed("label", "_old"), "node").where("label <> _old").isEmpty():
             return new
