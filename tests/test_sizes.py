@@ -28,3 +28,13 @@ def test_labels_are_found_in_parts_of_few_rows(spark, short_parts):
     found = C.label_propagation(spark.createDataFrame(pairs, "source bigint, target bigint"), 3)
     assert {r["node"]: r["label"] for r in found.collect()} == want
     assert len(found.inputFiles()) > 20  # of 4 parts of a shuffle otherwise
+
+
+def test_authors_of_functions_are_found_in_parts_of_few_rows(spark, short_parts):
+    from weftgraph.operators import edges as E
+
+    people = spark.createDataFrame([(f"p{i:02d}", "", None) for i in range(10)], "login string, email string, name string")
+    pulls = spark.createDataFrame([(i, f"p{i % 13:02d}") for i in range(100)], "ID bigint, author_login string")
+    found = E.developer_tables(people, pulls, spark.createDataFrame([(i % 100, i % 7) for i in range(900)], "source bigint, target bigint"))[1]
+    assert sorted(tuple(r) for r in found.collect()) == sorted({(i % 100 % 13 + 1, i % 7, i % 100) for i in range(900)})
+    assert found.rdd.getNumPartitions() > 20

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import scalars as S
 from weftgraph.operators.ids import dense_ids
 from weftgraph.operators.linking import keep_first
+from weftgraph.session import spread
 
 
 def grouped_nodes(rows: DataFrame, keys: list[str], member: str, members: str, drop_null_keys: bool = False) -> DataFrame:
@@ -70,7 +71,8 @@ def developer_tables(contributors: DataFrame, pulls: DataFrame, edges: DataFrame
     every = known.unionByName(authors.select("login", F.lit(None).cast("string").alias("email"), F.col("login").alias("full"), F.lit(1).alias("_late")))
     nodes = dense_ids(keep_first(every, ["login"], ["_late"]), ["_late", "login"], "ID", 1).select("ID", F.col("login").alias("dev_name"), F.col("email").alias("dev_email"), F.col("full").alias("dev_full"))
     by = pulls.select(F.col("ID").alias("pr"), F.col("author_login").alias("dev_name")).join(nodes.select("dev_name", F.col("ID").alias("dev")), "dev_name")
-    return nodes, edges.join(by, edges.source == by.pr).select(F.col("dev").alias("source"), "target", F.col("pr").alias("pr_number")).distinct()
+    dealt = spread(edges.select(F.col("source").alias("pr"), "target"), edges.count(), "pr")
+    return nodes, dealt.join(by, "pr").select(F.col("dev").alias("source"), "target", F.col("pr").alias("pr_number")).distinct()
 
 
 def commit_author_edges(commits: DataFrame, commit_files: DataFrame, files: DataFrame, functions: DataFrame, newest: int = 200) -> DataFrame:
