@@ -38,3 +38,16 @@ def test_authors_of_functions_are_found_in_parts_of_few_rows(spark, short_parts)
     found = E.developer_tables(people, pulls, spark.createDataFrame([(i % 100, i % 7) for i in range(900)], "source bigint, target bigint"))[1]
     assert sorted(tuple(r) for r in found.collect()) == sorted({(i % 100 % 13 + 1, i % 7, i % 100) for i in range(900)})
     assert found.rdd.getNumPartitions() > 20
+
+
+def test_subgraphs_are_numbered_in_parts_of_few_rows(spark, short_parts):
+    from weftgraph.operators import linking as L
+
+    nodes = [(f, n) for f in range(60) for n in range(0, 9) if (f * n) % 5 != 3]
+    edges = [(f, n, n + 1) for f, n in nodes for _ in range(2)]
+    numbered, found = L.filtered_subgraph(spark.createDataFrame(nodes, "func_id bigint, node_id bigint"), spark.createDataFrame(edges, "func_id bigint, source bigint, target bigint"))
+    kept = sorted({(f, a, b) for f, a, b in edges if (f, b) in set(nodes)})
+    ids = {k: i for i, k in enumerate(sorted({(f, x) for f, a, b in kept for x in (a, b)}))}
+    assert {(r["func_id"], r["node_id"]): r["ID"] for r in numbered.collect()} == ids
+    assert sorted(tuple(r) for r in found.collect()) == sorted((ids[f, a], ids[f, b], f) for f, a, b in kept)
+    assert found.rdd.getNumPartitions() > 20

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.ids import dense_ids
+from weftgraph.session import spread, stored
 
 
 def link_calls(calls: DataFrame, functions: DataFrame, name: str = "combinedName", caller: str = "func_id", callee: str = "fnc_id") -> DataFrame:
@@ -62,19 +63,23 @@ def remapped(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 def subgraph_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges (func_id, source, target) with both nodes in their function, once each."""
-    ids = nodes.select("func_id", "node_id").distinct()
+    n, m = nodes.count(), edges.count()
+    edges = edges.select("func_id", "source", "target")
     for end in ("source", "target"):
-        edges = edges.join(ids.withColumnRenamed("node_id", end), ["func_id", end], "left_semi")
+        ids = spread(nodes.select("func_id", F.col("node_id").alias(end)), n, "func_id", end).distinct()
+        edges = spread(edges, max(n, m), "func_id", end).join(ids, ["func_id", end], "left_semi")
     return edges.select("func_id", "source", "target").distinct()
 
 
 def filtered_subgraph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of functions' subgraphs: edges with both nodes in their function, once each, re-numbered over all functions."""
-    fine = subgraph_edges(nodes, edges)
-    used = fine.select("func_id", F.col("source").alias("node_id")).union(fine.select("func_id", F.col("target").alias("node_id"))).distinct()
-    numbered = dense_ids(nodes.join(used, ["func_id", "node_id"], "left_semi"), ["func_id", "node_id"], "ID")
-    by = numbered.select("func_id", "node_id", "ID")
-    out = fine.join(by.select("func_id", F.col("node_id").alias("source"), F.col("ID").alias("s")), ["func_id", "source"]).join(by.select("func_id", F.col("node_id").alias("target"), F.col("ID").alias("t")), ["func_id", "target"])
+    fine = stored(subgraph_edges(nodes, edges), "subgraphs")
+    m, n = fine.count(), nodes.count()
+    used = spread(fine.select("func_id", F.explode(F.array("source", "target")).alias("node_id")), 2 * m, "func_id", "node_id").distinct()
+    numbered = dense_ids(spread(nodes, max(n, 2 * m), "func_id", "node_id").join(used, ["func_id", "node_id"], "left_semi"), ["func_id", "node_id"], "ID")
+    out = fine
+    for end, name in (("source", "s"), ("target", "t")):
+        out = spread(out, max(n, m), "func_id", end).join(numbered.select("func_id", F.col("node_id").alias(end), F.col("ID").alias(name)), ["func_id", end])
     return numbered, out.select(F.col("s").alias("source"), F.col("t").alias("target"), "func_id")
 
 

@@ -17,6 +17,7 @@ from weftgraph.operators import edges as E
 from weftgraph.operators import linking as L
 from weftgraph.operators import versions as V
 from weftgraph.operators.ids import dense_ids
+from weftgraph.session import spread, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -222,7 +223,8 @@ def J4_subgraph_edges(spark, d):
           u AS (SELECT f, n, row_number() OVER (ORDER BY f, n) - 1 AS id FROM (SELECT f, s AS n FROM e UNION SELECT f, t FROM e))
           SELECT x.id AS source, y.id AS target, e.f AS func_id FROM e JOIN u x ON x.f = e.f AND x.n = e.s JOIN u y ON y.f = e.f AND y.n = e.t""")
 def M13_subgraph_reindex(spark, d):
-    nodes = t(spark, d, "lineitem").select(c("l_orderkey").alias("func_id"), c("l_linenumber").alias("node_id")).distinct()
+    lines = t(spark, d, "lineitem").select(c("l_orderkey").alias("func_id"), c("l_linenumber").alias("node_id"))
+    nodes = stored(spread(lines, lines.count(), "func_id", "node_id").distinct(), "nodes")
     return L.filtered_subgraph(nodes, nodes.select("func_id", c("node_id").alias("source"), (c("node_id") + 1).alias("target")))[1]
 
 
